@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, ranking, warczip, winnowing
+from . import blocks, bpe, ranking, rules, warczip, winnowing
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_blocks": blocks.op1,
         "op2_warc_zip": warczip.op2,
+        "op3_rules": rules.op3,
         "op4_winnowing": winnowing.op4,
         "op5_bpe": bpe.op5,
         "op7_ranking": ranking.op7,

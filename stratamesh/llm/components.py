@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 SMALL, LEADERS = 24, 3
+#: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
+SHARE_KEYS = 300_000
 MAX_ROUNDS = 60
 
 
@@ -54,22 +56,44 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(components.select(F.col("id").alias("item"), "component"), "item", "left").withColumn("component", F.coalesce("component", "item"))
 
 
-def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: Column | None = None, attributes: tuple[str, ...] = (), small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
-    """Edges (a, b) between items of one key that ``verify`` confirms.
+def similar(x: Column, y: Column, percent: int) -> Column:
+    """Whether two arrays of distinct values have a Jaccard similarity of ``percent`` or more; exact."""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
 
-    members: key, item (long), weight (long; the least leads its group), and columns named in ``attributes``, on which
-    ``condition`` (of columns such as x.n and y.n) may rule out pairs before they are made. verify: takes distinct pairs (a, b) and returns those that hold.
+
+def verified_links(
+    members: DataFrame,
+    features: Callable[[DataFrame], DataFrame],
+    percent: int,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+    attributes: DataFrame | None = None,
+    condition: Column | None = None,
+    small: int = SMALL,
+    leaders: int = LEADERS,
+) -> DataFrame:
+    """Edges (a, b) between items of one key whose token sets are similar.
+
+    members: key, item (long), weight (long; the least leads its group), each (key, item) once. features: takes the items (item) that share a key
+    with another and returns (item, tokens array<long>), once for each. narrow: takes distinct pairs (a, b) and returns those worth verifying. ``condition``, on
+    columns of ``attributes`` (item and others) as x.name and y.name, rules out pairs of items that were left over before they are made.
     """
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "group-sizes")
-    inside = stored(members.join(sizes, "key"), "group-members")
-    holds = condition if condition is not None else F.lit(True)
+    inside = stored(members.join(F.broadcast(sizes) if sizes.count() <= SHARE_KEYS else sizes, "key"), "group-members")
+    tokens = stored(features(stored(inside.select("item").distinct(), "group-items")), "group-tokens")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = narrow(pairs) if narrow else pairs
+        x, y = (tokens.select(F.col("item").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "s"), ("b", "t")))
+        return pairs.join(x, "a").join(y, "b").filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
+
     few = inside.filter(F.col("m") <= small)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")) & holds)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")))
     pairs = pairs.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     large = inside.filter(F.col("m") > small)
     star = _to_leaders(large)
     edges = stored(verify(pairs.unionByName(star).distinct()), "links")
-    if sizes.filter(F.col("m") > small).isEmpty():
+    if large.isEmpty():
         return edges
     for _ in range(leaders - 1):
         rest = _unlinked(large, edges)
@@ -81,9 +105,17 @@ def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
     labelled = stored(labelled.join(top, "key"), "links-rest")
     rest = labelled.filter("component <> head")
-    pairs = rest.alias("x").join(labelled.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.head")) | (F.col("x.item") < F.col("y.item"))) & holds)
-    pairs = pairs.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
-    return stored(edges.unionByName(verify(pairs)), "links")
+    if rest.isEmpty():
+        return edges
+    whole = labelled.join(rest.select("key").distinct(), "key", "left_semi").join(tokens, "item")
+    rest = rest.join(tokens, "item")
+    if attributes is not None:
+        rest, whole = rest.join(attributes, "item"), whole.join(attributes, "item")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.head")) | (F.col("x.item") < F.col("y.item")))
+    holds = apart & condition if condition is not None else apart
+    # compared inside the join: only links leave it
+    found = rest.alias("x").join(whole.alias("y"), (F.col("x.key") == F.col("y.key")) & holds & similar(F.col("x.tokens"), F.col("y.tokens"), percent))
+    return stored(edges.unionByName(found.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()), "links")
 
 
 def _to_leaders(members: DataFrame) -> DataFrame:
@@ -97,3 +129,14 @@ def _unlinked(members: DataFrame, edges: DataFrame) -> DataFrame:
     labelled = _labelled(members, connected(edges))
     top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
     return labelled.join(top, "key").filter("component <> head").drop("component", "head")
+
+
+#: A key with a thousandth of all rows or more is hot; there are a thousand of them at most, and they are joined by broadcast.
+HOT_SHARE = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """left join right on key, where right's ``weight`` tells how many rows of left a key has and ``total`` how many left has: hot keys aren't shuffled."""
+    hot = F.broadcast(right.filter(F.col(weight) * HOT_SHARE >= total))  # so at most HOT_SHARE rows
+    cold = right.filter(F.col(weight) * HOT_SHARE < total)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, "left"))

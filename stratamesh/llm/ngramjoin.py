@@ -17,18 +17,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .components import connected, verified_links
+from .components import connected, join_hot, verified_links
 from .storage import stored
 
 SHINGLE, PERCENT = 4, 85
 #: Ids of candidates (8 bytes each) up to which the filter on documents goes to every task.
 SHARE_LIMIT = 1_000_000
-#: A class with a thousandth of all documents or more is hot; there are a thousand of them at most, and they are joined by broadcast.
-HOT_SHARE = 1_000
 #: Shingles that a task packs before it hands out its blocks.
 PACK_TOKENS = 4_000_000
 _TOKEN_BYTES = 5
@@ -160,18 +158,6 @@ def by_ids(docs: DataFrame, ids: DataFrame, share_limit: int = SHARE_LIMIT) -> D
     return docs.join(F.broadcast(ids) if ids.count() <= share_limit else ids, "doc_id", "left_semi")
 
 
-def similar(x: Column, y: Column, percent: int) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """left join right on key, where right's ``weight`` tells how many rows of left a key has; keys with a thousandth of ``total`` or more go by broadcast."""
-    hot = F.broadcast(right.filter(F.col(weight) * HOT_SHARE >= total))  # so at most HOT_SHARE rows
-    cold = right.filter(F.col(weight) * HOT_SHARE < total)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
-
-
 def components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -186,19 +172,21 @@ def components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     order = lambda seed: F.slice(F.array_sort(F.transform("list", lambda x: F.struct(x["df"], F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"]))), 1, F.col("keep"))
     index = lists.select(F.col("rep").alias("item"), "n", (F.col("n") - F.size("list")).alias("weight"), *[F.transform(order(s), lambda x: x["token"]).alias(f"order{s}") for s in range(3)])
     index = stored(index, "ngram-index")
-    members = index.select(F.explode("order0").alias("key"), "item", "weight", "n", "order1", "order2")
+    members = index.select(F.explode("order0").alias("key"), "item", "weight")
+    light = index.select("item", "n", "order0", "order1", "order2")
     fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & F.arrays_overlap("x.order1", "y.order1") & F.arrays_overlap("x.order2", "y.order2")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        light = index.select("item", "n", "order1", "order2")
+    def narrow(pairs: DataFrame) -> DataFrame:
         x, y = (light.select(F.col("item").alias(c), F.struct("n", "order1", "order2").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        left = stored(pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b"), "ngram-pairs")
-        ids = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-ids")
-        whole = stored(by_ids(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(_sets_of(k), "item long, tokens array<long>"), "ngram-sets")
-        x, y = (whole.select(F.col("item").alias(c), F.col("tokens").alias(s)) for c, s in (("a", "s"), ("b", "t")))
-        return left.join(x, "a").join(y, "b").filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b")
+
+    def features(items: DataFrame) -> DataFrame:
+        ids = items.select(F.col("item").alias("doc_id"))
+        found = by_ids(docs, ids).mapInArrow(_sets_of(k), "item long, tokens array<long>").join(index.select("item", "n"), "item")
+        return found.filter(F.size("tokens") == F.col("n")).groupBy("item").agg(F.first("tokens").alias("tokens"))
 
-    links = verified_links(members, verify, fits, ("n", "order1", "order2"))
+    once = F.array_min(F.array_intersect("x.order0", "y.order0")) == F.col("x.key")  # a pair of several keys is compared at the least one
+    links = verified_links(members, features, percent, narrow, light, fits & once)
     labels = connected(links)
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set", "copies", F.coalesce("component", "rep").alias("component"))
     found = join_hot(rows, stored(named, "ngram-named"), "set", "copies", rows.count())

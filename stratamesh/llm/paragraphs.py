@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .components import connected, verified_links
-from .ngramjoin import by_ids, join_hot, similar
+from .components import connected, join_hot, verified_links
+from .ngramjoin import by_ids
 from .storage import stored
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.995
@@ -133,16 +133,13 @@ def clusters(documents: DataFrame, percent: int = PERCENT, recall: float = RECAL
     keys = stored(keys.groupBy("unit").agg(F.first("keys").alias("keys")), "unit-keys")
     members = keys.select(F.explode("keys").alias("key"), F.col("unit").alias("item"), F.lit(0).cast("long").alias("weight"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "unit-pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+    def features(items: DataFrame) -> DataFrame:
+        named = items.select(F.col("item").alias("unit"))
         ids = stored(classes.join(named, "unit").select(F.col("first.doc_id").alias("doc_id")).distinct(), "unit-docs")
-        whole = by_ids(docs, ids).mapInArrow(_sets, "unit long, tokens array<long>").join(named, "unit", "left_semi").groupBy("unit").agg(F.first("tokens").alias("tokens"))
-        whole = stored(whole, "unit-sets")
-        x, y = (whole.select(F.col("unit").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "s"), ("b", "t")))
-        return pairs.join(x, "a").join(y, "b").filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
+        sets = by_ids(docs, ids).mapInArrow(_sets, "unit long, tokens array<long>").join(named, "unit", "left_semi")
+        return sets.groupBy(F.col("unit").alias("item")).agg(F.first("tokens").alias("tokens"))
 
-    labels = connected(verified_links(members, verify))
+    labels = connected(verified_links(members, features, percent))
     named = classes.join(labels.select(F.col("id").alias("unit"), "component"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("units")).filter("units > 1")
     named = stored(named.join(groups, "component").select("unit", "copies", "keep"), "unit-named")

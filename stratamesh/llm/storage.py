@@ -31,4 +31,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written go when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)

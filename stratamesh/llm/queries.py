@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, bpe, ngramjoin, paragraphs, ranking, rules, warczip, winnowing
+from . import blocks, bpe, identifiers, lines, ngramjoin, paragraphs, ranking, rules, warczip, winnowing
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,9 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rules": rules.op3,
         "op4_winnowing": winnowing.op4,
         "op5_bpe": bpe.op5,
+        "op6_lines": lines.op6,
         "op7_ranking": ranking.op7,
         "op8_paragraphs": paragraphs.op8,
         "op9_ngram_join": ngramjoin.op9,
+        "op10_identifiers": identifiers.op10,
     }
 
 

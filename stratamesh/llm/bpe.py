@@ -22,6 +22,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -226,6 +227,35 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _encoded_rows(path: str):
+    def run(batches):
+        t = tokenizer(path)
+        for batch in batches:
+            n, ids, sums, back = [], [], [], []
+            flush = lambda a, b: pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])  # noqa: B023, E731
+            begin, held = 0, 0
+            for i, text in enumerate(batch.column("text")):
+                e = t.encoded(text.as_py() or "")
+                joined = " ".join([x[1] for x in e])
+                ids.append(np.array(joined.split(" ") if joined else [], np.int32))
+                n.append(len(ids[-1]))
+                sums.append(hashlib.sha256(joined.encode()).hexdigest())
+                back.append(hashlib.sha256(" ".join([x[2] for x in e]).encode()).hexdigest())
+                held += n[-1]
+                if held > 2_000_000:
+                    yield flush(begin, i + 1)
+                    n, ids, sums, back, begin, held = [], [], [], [], i + 1, 0
+            if begin < batch.num_rows:
+                yield flush(begin, batch.num_rows)
+
+    return run
+
+
+def encoded_rows(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the text they decode to."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded_rows(path), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written go when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids (8 bytes each) up to which those to be removed go to every task; beyond it rows are shuffled to them.
+REMOVED_LIMIT = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, limit: int = REMOVED_LIMIT) -> DataFrame:
+    """The rows whose doc_id is not in ``ids`` (doc_id); rows without a doc_id stay."""
+    gone = stored(ids.filter("doc_id is not null").distinct().withColumnRenamed("doc_id", "_gone_id"), "removed")
+    small = gone.count() <= limit
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left_anti")

@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are folded (trimmed, lower case); lines of equal folded text are one class, known by a 64-bit hash. A class's signature
-comes from one hash of its 12-character shingles that begin a word (for scripts beyond Latin: any character): the hash space is cut into
-16 regions, and the three least hashes of a region make a band. Two lines whose
-shingle sets have similarity J share a region's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already.
+comes from one hash of its 12-character shingles that begin a word (for scripts beyond Latin: any character): the hash space is a circle with 16
+marks, and the three hashes that follow a mark make a band. Two lines whose
+shingle sets have similarity J share a mark's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already; lines of few shingles get bands of two hashes besides.
 Colliding classes are verified by exact Jaccard similarity of all their 5-character shingles and linked at 0.8 or more; components come from
 distributed label steps, and of each component the first line (by doc_id, then line) stays.
 
@@ -20,8 +20,10 @@ from .components import connected, join_hot, verified_links
 from .storage import stored
 
 PERCENT, SHINGLE = 80, 5
-#: 2**REGION_BITS regions of BAND hashes each; shingles of ANCHORED characters at word starts.
+#: 2**REGION_BITS marks, bands of BAND hashes; shingles of ANCHORED characters at word starts.
 REGION_BITS, BAND, ANCHORED = 4, 3, 12
+#: Lines of fewer shingles get shorter bands besides.
+FEW = 32
 #: Classes (8 bytes each) up to which the filter on lines goes to every task.
 SHARE_LIMIT = 500_000
 SPACE = "\t\n\x0b\x0c\r "
@@ -44,9 +46,10 @@ def signatures(rows: DataFrame) -> DataFrame:
     df = rows.select("line", F.transform(F.regexp_extract_all("folded", F.lit(anchor), F.lit(1)), lambda x: F.xxhash64(x)).alias("hashes"))
     df = _let(df, "_s", F.expr("sort_array(array_distinct(hashes))")).drop("hashes")
     shift = 64 - REGION_BITS
-    df = _let(df, "_m", F.expr(f"filter(_s, (x, i) -> i < {BAND} or shiftright(x, {shift}) <> shiftright(_s[i - {BAND}], {shift}))")).drop("_s")
-    joined = f"array_join(transform(_m, (x, i) -> concat(case when i > 0 and shiftright(x, {shift}) = shiftright(_m[i - 1], {shift}) then ',' else ';' end, x)), '')"
-    return df.select("line", F.expr(f"transform(split(substring({joined}, 2), ';'), x -> xxhash64(x))").alias("keys"))
+    starts = f"filter(sequence(0, size(_s) - 1), i -> i = 0 or shiftright(_s[i], {shift}) <> shiftright(_s[i - 1], {shift}))"
+    band = lambda n: f"transform({starts}, i -> xxhash64({n}, {', '.join(f'_s[(i + {j}) % size(_s)]' for j in range(n))}))"
+    keys = f"case when size(_s) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
+    return df.select("line", F.expr(keys).alias("keys"))
 
 
 def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -28,7 +28,7 @@ SHINGLE, PERCENT = 4, 85
 #: Ids of candidates (8 bytes each) up to which the filter on documents goes to every task.
 SHARE_LIMIT = 1_000_000
 #: Shingles that a task packs before it hands out its blocks.
-PACK_TOKENS = 4_000_000
+PACK_TOKENS = 1_500_000
 _TOKEN_BYTES = 5
 _U = np.uint64
 

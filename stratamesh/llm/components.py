@@ -4,8 +4,8 @@
 every step's edges are written to the shared folder, so lineage stays short and lost executors cost one step.
 
 ``verified_links`` finds links between items that share a key. No group is gathered and no group's pairs are all made:
-groups of up to ``SMALL`` items give their pairs, larger ones compare each item with a leader; items that the
-leader did not link get further leaders from among themselves, and those left over are compared with the members of their group that are in other
+groups of up to ``SMALL`` items give their pairs, larger ones compare each item with ``LEADERS`` leaders; items that are not in the
+first leader's component then get other leaders, round by round while that helps, and those left over are compared with the members of their group that are in other
 components, so that no pair of a group whose members ended in different components went unseen. Groups whose members are in one
 component already are done, which is what keeps groups of thousands of near copies cheap.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-SMALL, LEADERS = 24, 3
+SMALL, LEADERS, ROUNDS = 24, 4, 6
 #: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
 SHARE_KEYS = 300_000
 MAX_ROUNDS = 60
@@ -70,7 +70,7 @@ def verified_links(
     attributes: DataFrame | None = None,
     condition: Column | None = None,
     small: int = SMALL,
-    leaders: int = LEADERS,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Edges (a, b) between items of one key whose token sets are similar.
 
@@ -91,16 +91,17 @@ def verified_links(
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")))
     pairs = pairs.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     large = inside.filter(F.col("m") > small)
-    star = _to_leaders(large)
-    edges = stored(verify(pairs.unionByName(star).distinct()), "links")
+    edges = stored(verify(pairs.unionByName(_to_leaders(large, large, 0)).distinct()), "links")
     if large.isEmpty():
         return edges
-    for _ in range(leaders - 1):
-        rest = _unlinked(large, edges)
-        star = stored(_to_leaders(rest), "links-star")
-        if star.isEmpty():
+    left = None
+    for r in range(1, rounds):
+        rest = stored(_unlinked(large, edges), "links-open")
+        now = rest.count()
+        if now == 0 or (left is not None and 10 * now > 9 * left):  # further leaders hardly help
             break
-        edges = stored(edges.unionByName(verify(star.distinct())), "links")
+        left = now
+        edges = stored(edges.unionByName(verify(_to_leaders(rest, large, r).distinct())), "links")
     labelled = _labelled(large, connected(edges))
     top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
     labelled = stored(labelled.join(top, "key"), "links-rest")
@@ -118,10 +119,13 @@ def verified_links(
     return stored(edges.unionByName(found.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()), "links")
 
 
-def _to_leaders(members: DataFrame) -> DataFrame:
-    """Pairs of each item with its group's item of least weight."""
-    lead = members.groupBy("key").agg(F.min(F.struct("weight", "item")).alias("lead")).select("key", F.col("lead.item").alias("leader"))
-    return members.join(lead, "key").filter("item <> leader").select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b")).distinct()
+def _to_leaders(members: DataFrame, group: DataFrame, r: int) -> DataFrame:
+    """Pairs of each member with LEADERS items of its key in ``group``: those of least weight in round 0, others by a hash of the round later."""
+    rank = F.struct("weight", "item") if r == 0 else F.struct(F.xxhash64("item", F.lit(r)).alias("h"), "item")
+    each = group.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(LEADERS)).alias("slot")).agg(F.min(rank).alias("lead"))
+    leaders = each.groupBy("key").agg(F.collect_list("lead.item").alias("leaders"))
+    pairs = members.join(leaders, "key").select("item", F.explode("leaders").alias("leader")).filter("item <> leader")
+    return pairs.select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b")).distinct()
 
 
 def _unlinked(members: DataFrame, edges: DataFrame) -> DataFrame:

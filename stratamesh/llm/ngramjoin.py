@@ -71,6 +71,7 @@ def _classes(k: int):
         for batch in batches:
             for ids, sets in _each(batch, k):
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(set_ids(sets))], ["doc_id", "n", "set"])
+        tn.released()
 
     return run
 
@@ -112,6 +113,8 @@ def _packed(k: int, bits: int):
                     held, runs, count = [], [], 0
         if held:
             yield blocks()
+            held, runs = [], []
+        tn.released()
 
     return run
 
@@ -140,6 +143,7 @@ def _shared(table: pa.Table) -> pa.Table:
     df = df[inverse]
     keep = df > 1
     part = table.column("part")[0].as_py() if len(table) else 0
+    tn.released()
     token = t[keep].astype(np.int64) | np.int64(part << (8 * _TOKEN_BYTES))
     return pa.table({"set": owner[keep], "token": token, "df": df[keep].astype(np.int64)})
 

@@ -109,6 +109,7 @@ def _signatures(rows: int, bands: int):
                     keys[:, j] = key
                 flat = pa.array(keys.ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(0, len(s) * bands + 1, bands, dtype=np.int32)), flat)], ["unit", "keys"])
+        tn.released()
 
     return run
 

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes in an Arrow batch while an intermediate table is written.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -31,7 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))  # long texts in small batches bound the memory of Python workers
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written go when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 

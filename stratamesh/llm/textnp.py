@@ -7,6 +7,7 @@ per-byte values followed by a finalising mix; callers verify matches exactly whe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,19 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
+def released() -> None:
+    """Give memory that Arrow and the allocator keep for later back to the system; idle workers then hold little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not a glibc system
+    _trim = None
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n+1 offsets of a string column; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -84,6 +84,9 @@ def verified_links(
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = narrow(pairs) if narrow else pairs
+        near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")  # by sizes alone, before whole sets are moved
+        sizes_of = lambda c, n: tokens.select(F.col("item").alias(c), F.size("tokens").alias(n))
+        pairs = pairs.join(sizes_of("a", "n"), "a").join(sizes_of("b", "m"), "b").filter(near).select("a", "b")
         x, y = (tokens.select(F.col("item").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "s"), ("b", "t")))
         return pairs.join(x, "a").join(y, "b").filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
 

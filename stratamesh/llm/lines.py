@@ -64,7 +64,7 @@ def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         texts = lines(documents).select("line", "folded").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "line", "left_semi")
         texts = texts.groupBy("line").agg(F.first("folded").alias("folded"))
         grams = F.when(F.length("folded") < SHINGLE, F.array("folded")).otherwise(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-        return texts.select(F.col("line").alias("item"), F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x))).alias("tokens"))
+        return texts.select(F.col("line").alias("item"), F.array_distinct(F.transform(grams, lambda x: F.hash(x))).alias("tokens"))
 
     labels = connected(verified_links(members, features, percent))
     named = classes.join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))

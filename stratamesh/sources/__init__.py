@@ -1 +1 @@
-
+"""Reading and writing meshes, configurations and analytic fields."""

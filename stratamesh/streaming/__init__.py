@@ -1 +1 @@
-
+"""Time loops: output policies and steps over batches of time."""

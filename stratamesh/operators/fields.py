@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.geometry import cell_length
 from .mesh import Config
-from .neighbors import shifted
+from .neighbors import fetched, located, shifted
 
 EPSILON = 1e-12
 
 
 def with_neighbors(cells: DataFrame, leaves: DataFrame, cfg: Config, names: list[str], reach: int = 1) -> DataFrame:
-    """The cells with <name>_l<axis><r> and <name>_r<axis><r> for r up to ``reach``."""
-    out = cells
-    for d in range(cfg.dim):
-        for r in range(1, reach + 1):
-            for s, tag in ((-r, f"_l{d}{r}"), (r, f"_r{d}{r}")):
-                step = tuple(s if k == d else 0 for k in range(cfg.dim))
-                near = shifted(cells.select("key", *cfg.axes, *names), leaves, cfg, step, names, tag)
-                out = out.join(near.select("key", *cfg.axes, *[f"{n}{tag}" for n in names]), ["key", *cfg.axes])
-    return out
+    """The cells with <name>_l<axis><r> and <name>_r<axis><r> for r up to ``reach``: all steps share one lookup, one fetch and one aggregation."""
+    steps = [(d, r, s) for d in range(cfg.dim) for r in range(1, reach + 1) for s in (-r, r)]
+    origin = [f"_{a}0" for a in cfg.axes]
+    moves = [F.struct(F.lit(n).alias("_step"), *[(F.col(a) + (s if k == d else 0)).cast("int").alias(a) for k, a in enumerate(cfg.axes)]) for n, (d, _, s) in enumerate(steps)]
+    probes = cells.select("key", *[F.col(a).alias(o) for a, o in zip(cfg.axes, origin, strict=True)], F.explode(F.array(*moves)).alias("_m")).select("key", *origin, "_m.*")
+    found = fetched(located(probes, leaves, cfg), cells, cfg, names)
+    tag = lambda d, r, s: f"_{'l' if s < 0 else 'r'}{d}{r}"
+    wide = found.groupBy("key", *origin).agg(*[F.max(F.when(F.col("_step") == n, F.col(f"n_{v}"))).alias(f"{v}{tag(d, r, s)}") for n, (d, r, s) in enumerate(steps) for v in names])
+    return cells.join(wide.withColumnsRenamed(dict(zip(origin, cfg.axes, strict=True))), ["key", *cfg.axes])
 
 
 def dx(cfg: Config) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.algebra import minmod
+from .fields import with_neighbors
 from .mesh import Config
-from .neighbors import COARSER, FINER, SAME, _build, fetched, shifted
+from .neighbors import COARSER, FINER, SAME, _build, fetched
 
 
 def lattice(leaves: DataFrame, cfg: Config) -> DataFrame:
@@ -52,15 +53,10 @@ def remapped(new: DataFrame, cells: DataFrame, old: DataFrame, cfg: Config, name
     if prolongation == "simple_copy":
         out = fetched(places, cells, cfg, names)
         return out.select("key", *cfg.axes, *[F.col(f"n_{n}").alias(n) for n in names])
-    rich, carried = cells, list(names)
+    carried = list(names)
     reach = {"linear_minmod": (1,), "order_2": (1,), "order_4": (1, 2)}[prolongation]
-    for d in range(cfg.dim):
-        for r in reach:
-            for s, tag in ((-r, f"_l{d}{r}"), (r, f"_r{d}{r}")):
-                step = tuple(s if k == d else 0 for k in range(cfg.dim))
-                near = shifted(cells.select("key", *cfg.axes, *names), old, cfg, step, names, tag)
-                rich = rich.join(near.select("key", *cfg.axes, *[f"{n}{tag}" for n in names]), ["key", *cfg.axes])
-                carried += [f"{n}{tag}" for n in names]
+    rich = with_neighbors(cells, old, cfg, names, max(reach))
+    carried += [f"{n}_{side}{d}{r}" for n in names for d in range(cfg.dim) for r in range(1, max(reach) + 1) for side in "lr"]
     got = fetched(places, rich, cfg, carried)
 
     def value(n: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from . import formulas
+from . import formulas, meshes
 from .registry import Registry
 
 
@@ -12,6 +12,7 @@ from .registry import Registry
 def registry() -> Registry:
     reg = Registry()
     formulas.add_all(reg)
+    meshes.add_all(reg)
     return reg
 
 

@@ -8,34 +8,59 @@ Rows of one doc_id count as one document; rows whose doc_id is null are kept by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamesh.llm import bpe, lines, ngramjoin, rules, winnowing
+from stratamesh.llm import bpe, lines, ngramjoin, rules, storage, winnowing
 from stratamesh.llm.storage import stored, without
 
+#: Tables that the stage before has stored: its rows are written when the next stage begins, so these go then.
+_left: list[str] = []
+
+
+def _stage(body: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(body)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            storage.delete(spark, _left.pop())
+        storage.open_scope()
+        try:
+            return body(spark, docs, sf_dir)
+        finally:
+            _left.extend(storage.close_scope())
+
+    return run_stage
+
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return rules.filtered(docs)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-equal lines one stays in the corpus; n_chars follows the text."""
     return lines.deduplicated(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id."""
     groups = ngramjoin.components(docs)
     return without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages beyond the limit go."""
     found = winnowing.verdict(winnowing.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return without(docs, found.filter("contaminated").select("doc_id"))
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text they decode to."""
     return bpe.encoded_rows(docs, bpe.vocabulary())

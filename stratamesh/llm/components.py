@@ -17,9 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import Scratch, delete, stored
 
-SMALL, LEADERS, ROUNDS = 24, 4, 6
+SMALL, LEADERS, ROUNDS = 6, 4, 6
 #: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
 SHARE_KEYS = 300_000
 MAX_ROUNDS = 60
@@ -42,7 +42,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        e = stored(small, "edges")
+        last, e = e, stored(small, "edges")
+        delete(e.sparkSession, last._stored_path)
         now = _mark(e)
         if now == mark:
             break
@@ -78,6 +79,11 @@ def verified_links(
     with another and returns (item, tokens array<long>), once for each. narrow: takes distinct pairs (a, b) and returns those worth verifying. ``condition``, on
     columns of ``attributes`` (item and others) as x.name and y.name, rules out pairs of items that were left over before they are made.
     """
+    with Scratch(members.sparkSession) as scratch:
+        return scratch.keep(_linked(members, features, percent, narrow, attributes, condition, small, rounds))
+
+
+def _linked(members, features, percent, narrow, attributes, condition, small, rounds) -> DataFrame:
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "group-sizes")
     inside = stored(members.join(F.broadcast(sizes) if sizes.count() <= SHARE_KEYS else sizes, "key"), "group-members")
     tokens = stored(features(stored(inside.select("item").distinct(), "group-items")), "group-tokens")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected, join_hot, verified_links
-from .storage import stored
+from .storage import Scratch, stored
 
 PERCENT, SHINGLE = 80, 5
 #: 2**REGION_BITS marks, bands of BAND hashes; shingles of ANCHORED characters at word starts.
@@ -54,6 +54,11 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The lines of components of several lines: doc_id, line_no, first_doc_id, first_line_no (the line that stays) and kept."""
+    with Scratch(documents.sparkSession) as scratch:
+        return _repeated(documents, percent, scratch)
+
+
+def _repeated(documents: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     found = stored(lines(documents).select("doc_id", "line_no", "line"), "lines")
     classes = stored(found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "line-classes")
     keys = stored(signatures(lines(documents).select("line", "folded")).groupBy("line").agg(F.first("keys").alias("keys")), "line-keys")
@@ -70,7 +75,7 @@ def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = classes.join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     named = stored(named.join(groups, "component").select("line", "copies", "keep"), "line-named")
-    out = join_hot(found, named, "line", "copies", found.count()).filter("keep is not null")
+    out = join_hot(scratch.keep(found), scratch.keep(named), "line", "copies", found.count()).filter("keep is not null")
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no"))
     return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.line_no").alias("first_line_no"), stays.alias("kept"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .components import connected, join_hot, verified_links
-from .storage import stored
+from .storage import Scratch, stored
 
 SHINGLE, PERCENT = 4, 85
 #: Ids of candidates (8 bytes each) up to which the filter on documents goes to every task.
@@ -164,6 +164,11 @@ def by_ids(docs: DataFrame, ids: DataFrame, share_limit: int = SHARE_LIMIT) -> D
 
 def components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    with Scratch(documents.sparkSession) as scratch:
+        return _components(documents, k, percent, scratch)
+
+
+def _components(documents: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(docs.mapInArrow(_classes(k), "doc_id long, n long, set long"), "ngram-docs")
     classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "ngram-classes")
@@ -193,7 +198,7 @@ def components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     links = verified_links(members, features, percent, narrow, light, fits & once)
     labels = connected(links)
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set", "copies", F.coalesce("component", "rep").alias("component"))
-    found = join_hot(rows, stored(named, "ngram-named"), "set", "copies", rows.count())
+    found = join_hot(scratch.keep(rows), scratch.keep(stored(named, "ngram-named")), "set", "copies", rows.count())
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textnp as tn
 from .components import connected, join_hot, verified_links
 from .ngramjoin import by_ids
-from .storage import stored
+from .storage import Scratch, stored
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.995
 MIN_WORDS, CUT_WORDS, CUT_EVERY, MIN_PIECE = 25, 50, 4, 20
@@ -126,6 +126,11 @@ def _sets(batches):
 
 def clusters(documents: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """The repeated units: doc_id, start, end (code points), n_words, first_doc_id, first_start (the unit of the cluster that stays), removed."""
+    with Scratch(documents.sparkSession) as scratch:
+        return _clusters(documents, percent, recall, scratch)
+
+
+def _clusters(documents: DataFrame, percent: int, recall: float, scratch: Scratch) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(docs.mapInArrow(_units, "doc_id long, start long, end long, n_words int, paragraph boolean, unit long"), "units")
     classes = stored(found.groupBy("unit").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"), F.first("paragraph").alias("paragraph")), "unit-classes")
@@ -146,6 +151,7 @@ def clusters(documents: DataFrame, percent: int = PERCENT, recall: float = RECAL
     named = stored(named.join(groups, "component").select("unit", "copies", "keep"), "unit-named")
     every = found.filter("unit is not null")
     repeated = stored(join_hot(every, named, "unit", "copies", every.count()).filter("keep is not null"), "unit-repeated")
+    scratch.keep(repeated)
     outer = repeated.filter("paragraph").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
     inner = repeated.filter("not paragraph").alias("x").join(outer.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.start") >= F.col("y.s")) & (F.col("x.end") <= F.col("y.e")), "left_anti")
     out = repeated.filter("paragraph").unionByName(inner)

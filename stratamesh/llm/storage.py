@@ -43,7 +43,55 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written go when the driver collects its garbage
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, wherever the shared folder is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def open_scope() -> None:
+    _scopes.append([])
+
+
+def close_scope() -> list[str]:
+    """The paths stored since ``open_scope`` that are still there."""
+    return _scopes.pop()
+
+
+class Scratch:
+    """Deletes the tables stored inside it when it ends, but for those named by ``keep``, which go to the scope around it.
+
+    Only for code whose results don't read the other tables any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def __enter__(self) -> Scratch:
+        _scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df._stored_path)
+        return df
+
+    def __exit__(self, kind, value, trace) -> None:
+        for path in _scopes.pop():
+            if path in self.kept:
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                delete(self.spark, path)
 
 
 #: Ids (8 bytes each) up to which those to be removed go to every task; beyond it rows are shuffled to them.

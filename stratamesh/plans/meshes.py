@@ -237,8 +237,8 @@ LEFT JOIN leaves c ON c.level = p.level + 1 AND c.lx = 2 * tx + (dx < 0)::INT AN
             cases.append(f"WHEN {p} THEN {terms}")
         sql = f", w AS (SELECT gx // 8 AS bx, gy, list(q ORDER BY gx) AS a FROM l GROUP BY 1, 2) SELECT 3 AS level, bx * 8 + p.range AS cx, gy AS cy, {S6('(CASE p.range ' + ' '.join(cases) + ' END) * 64.0')} AS d FROM w, range(8) p"
         reg.add(f"d_deriv_{points}", lambda spark, d, k=points: placed(D.derivative(cells_of(lattice(spark, d), WIDE, 3), WIDE, "q", 0, k), r6("derivative").alias("d"), block=8), f"WITH {LATTICE}{sql}")
-    spots = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    edges = lambda c: c.select("key").distinct().select("key", spots.alias("i")).select("key", "i", spots.alias("j")).withColumn("v", ((F.col("i") * 3 + F.col("j") * 5 + K.morton_octant(F.col("key")) % 7) % 11).cast("double"))
+    spots = lambda: F.explode(F.sequence(F.lit(0), F.lit(4)))
+    edges = lambda c: c.select("key").distinct().select("key", spots().alias("i")).select("key", "i", spots().alias("j")).withColumn("v", ((F.col("i") * 3 + F.col("j") * 5 + K.morton_octant(F.col("key")) % 7) % 11).cast("double"))
     mo = "list_reduce([(((lx >> i) & 1) << (2 * i)) | (((ly >> i) & 1) << (2 * i + 1)) for i in range(4)], lambda x, y: x + y) * 68719476736"
     edge_sql = f", b AS (SELECT DISTINCT gx // 4 AS lx, gy // 4 AS ly FROM l), e0 AS (SELECT lx, ly, {mo} AS mo FROM b), ed AS (SELECT lx, ly, i.range AS i, j.range AS j, CAST((i.range * 3 + j.range * 5 + mo % 7) % 11 AS DOUBLE) AS v FROM e0, range(5) i, range(5) j)"
     on_base("d_curl", lambda c: placed(D.curl(edges(c), CFG), "dir", r6("v").alias("v")), f"{edge_sql} SELECT 4 AS level, a.lx * 4 + a.i AS cx, a.ly * 4 + a.j AS cy, 0 AS dir, {S6('(b.v - a.v) * 64')} AS v FROM ed a JOIN ed b ON a.lx = b.lx AND a.ly = b.ly AND a.i = b.i AND b.j = a.j + 1 UNION ALL SELECT 4, a.lx * 4 + a.i, a.ly * 4 + a.j, 1, {S6('(a.v - b.v) * 64')} FROM ed a JOIN ed b ON a.lx = b.lx AND a.ly = b.ly AND a.j = b.j AND b.i = a.i + 1")

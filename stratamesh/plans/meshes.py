@@ -159,7 +159,7 @@ def add_all(reg: Registry) -> None:
         for level in range(2, 6):
             x, y = K.octant_coords(F.col("key"))
             corner = (x == 0) & (y == 0) & (K.level(F.col("key")) == level)
-            leaves = M.refine(leaves.select("key", corner.cast("int").alias("flag")), CFG).select("key")
+            leaves = cut(M.refine(leaves.select("key", corner.cast("int").alias("flag")), CFG).select("key"))
         return leaves
 
     reg.add("m_balance", lambda spark, d: placed_leaves(M.balance(deep(spark, d), CFG)))

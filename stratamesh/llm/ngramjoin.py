@@ -195,7 +195,7 @@ def _components(documents: DataFrame, k: int, percent: int, scratch: Scratch) ->
         return found.filter(F.size("tokens") == F.col("n")).groupBy("item").agg(F.first("tokens").alias("tokens"))
 
     once = F.array_min(F.array_intersect("x.order0", "y.order0")) == F.col("x.key")  # a pair of several keys is compared at the least one
-    links = verified_links(members, features, percent, narrow, light, fits & once)
+    links = verified_links(members, features, percent, narrow, light, fits & once, small=24)
     labels = connected(links)
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set", "copies", F.coalesce("component", "rep").alias("component"))
     found = join_hot(scratch.keep(rows), scratch.keep(stored(named, "ngram-named")), "set", "copies", rows.count())

@@ -145,7 +145,7 @@ def _clusters(documents: DataFrame, percent: int, recall: float, scratch: Scratc
         sets = by_ids(docs, ids).mapInArrow(_sets, "unit long, tokens array<long>").join(named, "unit", "left_semi")
         return sets.groupBy(F.col("unit").alias("item")).agg(F.first("tokens").alias("tokens"))
 
-    labels = connected(verified_links(members, features, percent))
+    labels = connected(verified_links(members, features, percent, small=24))
     named = classes.join(labels.select(F.col("id").alias("unit"), "component"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("units")).filter("units > 1")
     named = stored(named.join(groups, "component").select("unit", "copies", "keep"), "unit-named")

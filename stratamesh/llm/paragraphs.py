@@ -4,7 +4,12 @@ A text's units are its paragraphs (lines) of at least ``MIN_WORDS`` words and, w
 words, the pieces between sentence ends whose last word's hash is a multiple of ``CUT_EVERY``: a passage inside a longer paragraph is cut at the same places wherever it stands.
 Units of equal words are one class. Paragraph classes get MinHash signatures of their word 5-shingles, with bands tuned by ``tune`` for the
 wanted recall at the threshold; colliding classes are verified by exact Jaccard similarity of the whole shingle sets, linked, and clustered by components. Pieces join by equality alone.
-Of each cluster with several units the first one (by doc_id, then place) stays and the others are removals; pieces inside a repeated paragraph are not reported again.
+Of each cluster with several units the first one (by doc_id, then place) stays and the others are removals.
+
+Besides, every run of ``SPAN`` or more words that occurs twice (in two rows, or twice without overlap in one) is found wherever it stands and however its lines break. Of ``SPAN``
+words the least hash of their ``SEED``-word shingles is a seed; equal runs have equal seeds, so only windows whose seed is repeated are hashed whole, and windows of equal hashes are
+repeats. Repeated seeds go to the tasks as a bitmap, whose false hits only cost windows that turn out single. Neighbouring windows of one state and one first document make a span.
+Pieces and spans inside a removed paragraph are not reported again, nor those that stay and lie in a repeated paragraph, nor pieces inside a span likewise.
 
 Null and empty texts have no units. Rows of one doc_id are taken as one document's text each: their units are reported for each row.
 Ties in place can't occur within a text. Extra columns are ignored; an empty table gives no rows.
@@ -16,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as tn
@@ -26,6 +31,10 @@ from .storage import Scratch, stored
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.995
 MIN_WORDS, CUT_WORDS, CUT_EVERY, MIN_PIECE = 25, 50, 4, 20
+#: Words of a run that is found for certain, and of the shingles that seed it.
+SPAN, SEED = 50, 20
+#: Most bits of the bitmap of repeated seeds (64 MB), and bits in a row of it.
+MAP_BITS, ROW_BITS = 29, 15
 _U = np.uint64
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -124,6 +133,138 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.unique(g[a : b - SHINGLE + 1]).view(np.int64) for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.list_(pa.int64()))], ["unit", "tokens"])
 
 
+def windows(data: np.ndarray, offsets: np.ndarray):
+    """(words, first word, seed, whole hash) of every window of ``SPAN`` words within a document of a chunk."""
+    words = tn.Words(data, offsets, tn.SPACE_WORDS)
+    n = len(words) - SPAN + 1
+    if n <= 0:
+        return words, np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
+    prefix = tn.gram_prefix(words.hashes())
+    seed, width, rest = tn.grams(words.hashes(), SEED, prefix), 1, SPAN - SEED + 1
+    while width < rest:  # least of ``width`` shingles from each place
+        step = min(width, rest - width)
+        seed, width = np.minimum(seed[:-step], seed[step:]), width + step
+    at = np.flatnonzero(np.arange(n) + SPAN <= words.first[1:][words.doc()[:n]])
+    return words, at, seed[at], tn.grams(words.hashes(), SPAN, prefix)[at]
+
+
+def _seeded(batches):
+    for batch in batches:
+        data, offs = tn.buffers(batch.column("text"))
+        for _, _, d, o in tn.chunks(data, offs):
+            words, at, seed, _ = windows(d, o)
+            if not len(at):
+                continue
+            doc = words.doc()[at]
+            new = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])]))
+            runs = np.diff(np.append(new, len(seed)))
+            found, inverse = np.unique(seed[new], return_inverse=True)
+            # one place seeds SPAN - SEED + 1 windows at most: a longer run has several
+            places = np.bincount(inverse, -(-runs // (SPAN - SEED + 1))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(places)], ["seed", "n"])
+    tn.released()
+
+
+def _windowed(shared, bits: int, part_bits: int):
+    """Runs of neighbouring windows of one repeated seed; steps of their borders and hashes are packed."""
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            ids, rows = batch.column("doc_id"), batch.column("row")
+            data, offs = tn.buffers(batch.column("text"))
+            for a, _, d, o in tn.chunks(data, offs):
+                words, at, seed, whole = windows(d, o)
+                slot = seed & _U((1 << bits) - 1)
+                hit = (table[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
+                at, seed, whole = at[hit], seed[hit], whole[hit]
+                if not len(at):
+                    continue
+                doc = words.doc()[at]
+                points = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
+                start, end = points[words.starts[at]] - points[o[doc]], points[words.ends[at + SPAN - 1]] - points[o[doc]]
+                ds, de = np.diff(start, prepend=0), np.diff(end, prepend=0)
+                new = np.ones(len(at), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (np.diff(at) != 1) | (seed[1:] != seed[:-1]) | (ds[1:] > 255) | (de[1:] > 255)
+                head = np.flatnonzero(new)
+                ds[head] = de[head] = 0
+                edges = np.append(head, len(at))
+                packed = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(edges * x.itemsize), pa.py_buffer(x)]).cast(pa.binary()) for x in (ds.astype(np.uint8), de.astype(np.uint8), np.ascontiguousarray(whole))]
+                who = pa.array(a + doc[head])
+                part = (tn.mix(seed[head]) >> _U(64 - part_bits)).astype(np.int32)
+                places = [pa.array(x[head].astype(np.int64)) for x in (at - words.first[doc], start, end)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), rows.take(who), ids.take(who), *places, *packed], ["part", "row", "doc_id", "word", "start", "end", "starts", "ends", "hashes"])
+        tn.released()
+
+    return run
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """The repeated windows of one part of the seeds, neighbours of one state together."""
+    joined = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    column = lambda c: table.column(c).to_numpy().astype(np.int64)
+    known = np.asarray(table.column("doc_id").is_valid())
+    ids = table.column("doc_id").combine_chunks().fill_null(-(2**63)).to_numpy()
+    hashes = joined("hashes", np.uint64)
+    n = np.array([len(x) for x in table.column("starts").to_pylist()], np.int64)
+    head = np.cumsum(n) - n
+    run = np.repeat(np.arange(len(n)), n)
+    ds, de = (np.cumsum(joined(c, np.uint8), dtype=np.int64) for c in ("starts", "ends"))
+    start, end = column("start")[run] + ds - ds[head][run], column("end")[run] + de - de[head][run]
+    word, row, doc, known = column("word")[run] + np.arange(len(run)) - head[run], column("row")[run], ids[run], known[run]
+    order = np.lexsort((word, row, start, doc, known, hashes))
+    sorted_hashes = hashes[order]
+    heads = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]])[: len(order)])
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    spread = lambda x: np.maximum.reduceat(x[order], heads) - np.minimum.reduceat(x[order], heads)
+    first, several = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    first[order] = order[heads][group]
+    several[order] = ((spread(row) > 0) | (spread(word) >= SPAN))[group]
+    here = (doc == doc[first]) & (known == known[first]) & (start == start[first])
+    removed = ~here & ~((row == row[first]) & (word - word[first] < SPAN))
+    keep = np.where(removed, first, np.arange(len(order)))
+    at = np.flatnonzero(several)
+    k, r, gone = keep[at], run[at], removed[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (r[1:] != r[:-1]) | (gone[1:] != gone[:-1]) | (doc[k[1:]] != doc[k[:-1]]) | (known[k[1:]] != known[k[:-1]])
+    begin = np.flatnonzero(new)
+    a, b, k = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(at) else at, k[begin]
+    tn.released()
+    return pa.table({"row": row[a], "doc_id": pa.array(doc[a], mask=~known[a]), "word": word[a], "last": word[b], "start": start[a], "end": end[b], "keep_id": pa.array(doc[k], mask=~known[k]), "keep_start": start[k], "removed": removed[a]})
+
+
+def spans(documents: DataFrame) -> DataFrame:
+    """Every run of ``SPAN`` or more words that occurs twice: doc_id, start, end (code points), n_words, keep (doc_id and start of where it stays), removed."""
+    with Scratch(documents.sparkSession) as scratch:
+        return scratch.keep(_spans(documents))
+
+
+def _spans(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seeds = stored(docs.mapInArrow(_seeded, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed"), "span-seeds")
+    bits = min(MAP_BITS, max(ROW_BITS, (16 * seeds.count()).bit_length()))
+    slot = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    table = np.zeros(1 << bits - 3, np.uint8)
+    size = 1 << ROW_BITS - 3
+    made = seeds.groupBy(F.shiftright(slot, ROW_BITS).alias("at")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("bits"))
+    for r in made.toLocalIterator():
+        table[r["at"] * size : (r["at"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+    parts = min(20, max(3, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    found = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_windowed(shared, bits, parts), "part int, row long, doc_id long, word long, start long, end long, starts binary, ends binary, hashes binary")
+    each = stored(found.groupBy("part").applyInArrow(_compared, "row long, doc_id long, word long, last long, start long, end long, keep_id long, keep_start long, removed boolean"), "span-parts")
+    shared.unpersist()
+    order = Window.partitionBy("row").orderBy("word")
+    before = lambda c: F.lag(c).over(order)
+    new = before("word").isNull() | (before("last") + 1 != F.col("word")) | (before("removed") != F.col("removed")) | ~before("keep_id").eqNullSafe(F.col("keep_id"))
+    each = each.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
+    words = (F.max("last") - F.min("word") + SPAN).cast("int").alias("n_words")
+    keep = F.min_by(F.struct(F.col("keep_id").alias("doc_id"), F.col("keep_start").alias("start")), "word").alias("keep")
+    runs = each.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), words, keep, F.first("removed").alias("removed"))
+    return stored(runs.drop("row", "run"), "spans")
+
+
 def clusters(documents: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """The repeated units: doc_id, start, end (code points), n_words, first_doc_id, first_start (the unit of the cluster that stays), removed."""
     with Scratch(documents.sparkSession) as scratch:
@@ -131,6 +272,7 @@ def clusters(documents: DataFrame, percent: int = PERCENT, recall: float = RECAL
 
 
 def _clusters(documents: DataFrame, percent: int, recall: float, scratch: Scratch) -> DataFrame:
+    long = scratch.keep(spans(documents))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(docs.mapInArrow(_units, "doc_id long, start long, end long, n_words int, paragraph boolean, unit long"), "units")
     classes = stored(found.groupBy("unit").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"), F.first("paragraph").alias("paragraph")), "unit-classes")
@@ -152,10 +294,17 @@ def _clusters(documents: DataFrame, percent: int, recall: float, scratch: Scratc
     every = found.filter("unit is not null")
     repeated = stored(join_hot(every, named, "unit", "copies", every.count()).filter("keep is not null"), "unit-repeated")
     scratch.keep(repeated)
-    outer = repeated.filter("paragraph").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    inner = repeated.filter("not paragraph").alias("x").join(outer.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.start") >= F.col("y.s")) & (F.col("x.end") <= F.col("y.e")), "left_anti")
-    out = repeated.filter("paragraph").unionByName(inner)
-    return out.select("doc_id", "start", "end", "n_words", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.start").alias("first_start"), ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start"))).alias("removed"))
+    away = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start")))
+    repeated = repeated.select("doc_id", "start", "end", "n_words", "keep", away.alias("removed"), "paragraph")
+    whole, pieces = (repeated.filter(c).drop("paragraph") for c in ("paragraph", "not paragraph"))
+
+    def outside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        """The units not told already by one around them."""
+        inside = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.start") >= F.col("y.start")) & (F.col("x.end") <= F.col("y.end"))
+        return inner.alias("x").join(outer.select("doc_id", "start", "end", "removed").alias("y"), inside & (F.col("y.removed") | ~F.col("x.removed")), "left_anti")
+
+    out = whole.unionByName(outside(long, whole)).unionByName(outside(pieces, whole.unionByName(long)))
+    return out.select("doc_id", "start", "end", "n_words", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.start").alias("first_start"), "removed")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

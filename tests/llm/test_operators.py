@@ -131,6 +131,29 @@ def test_paragraphs(docs, none):
     assert paragraphs.clusters(none).count() == 0
 
 
+def test_passages_of_fifty_words_are_found_anywhere(spark):
+    """Runs of 50 words without sentence ends, in long paragraphs, in short lines, after the first one's own row, at the borders of texts; 49 words are none."""
+    own = lambda i, n: [f"d{i}x{j}" for j in range(n)]
+    shared = [[f"p{k}y{j}" for j in range(60)] for k in range(6)]
+    texts = {1: own(1, 40) + shared[0][:50] + own(2, 33), 2: own(3, 7) + shared[0][:50] + own(4, 90)}
+    texts |= {3: shared[1] + own(5, 70), 4: own(6, 31) + shared[1], 5: own(7, 20) + shared[2][:49] + own(8, 20), 6: own(9, 30) + shared[2][:49] + own(10, 30)}
+    texts |= {9: own(11, 5) + shared[4] + own(12, 10) + shared[4], 10: own(13, 90)}
+    texts |= {11: own(14, 9) + shared[5][:25] + own(15, 30), 12: own(16, 9) + shared[5] + own(17, 9), 13: own(18, 9) + shared[5][:55] + own(19, 9)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    broken = "\n".join(" ".join(shared[3][i : i + 6]) for i in range(0, 60, 6))
+    rows += [(7, " ".join(own(20, 30) + shared[3])), (8, " ".join(own(21, 30)) + "\n" + broken), (14, "spam " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.removed): r for r in paragraphs.spans(df).collect()}
+    place = lambda i, n: len(" ".join(texts[i][:n])) + (n > 0)
+    expected = {(1, place(1, 40), False): 50, (2, place(2, 7), True): 50, (3, 0, False): 60, (4, place(4, 31), True): 60, (9, place(9, 5), False): 60, (9, place(9, 75), True): 60}
+    expected |= {(12, place(12, 9), False): 55, (13, place(13, 9), True): 55, (7, len(" ".join(own(20, 30))) + 1, False): 60, (8, len(" ".join(own(21, 30))) + 1, True): 60}
+    expected |= {(14, 0, False): 99, (14, 250, True): 250}
+    assert {k: r.n_words for k, r in got.items()} == expected
+    assert got[4, place(4, 31), True].keep == (3, 0) and got[8, len(" ".join(own(21, 30))) + 1, True].end == len(" ".join(own(21, 30))) + 1 + len(broken)
+    reported = {(r.doc_id, r.start, r.removed) for r in paragraphs.clusters(df).collect()}
+    assert set(expected) <= reported
+
+
 def test_ngram_join(docs, none):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.components(docs).collect())
     named = {d: c for d, _, c in got}

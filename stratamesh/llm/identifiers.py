@@ -1,9 +1,9 @@
 """Personal data: pattern-matched identifiers, and more found by bootstrapped context, in DataFrame operations only.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by fixed patterns, leftmost and without overlap within a kind.
-They are the seeds of the bootstrap: the words before and after a seed, each with the shape of the seed's token, are lexical patterns. Other
-tokens with digits or @ are instances too. On the graph of patterns and instances, a pattern's score for a kind is the
-mean score of its instances, counted only with ``MIN_SEEDS`` different seeds and a mean of ``MIN_SCORE``; an instance's score is the noisy-or of its patterns. After ``ROUNDS``
+They are the seeds of the bootstrap: the word and the two words before and after a seed are lexical patterns, each for tokens of one coarse class (with @, five digits or
+more, fewer), not for the seed's very shape. Other tokens with digits or @, and groups of digits with single spaces between them, are instances too. On the graph of patterns and instances, a pattern's score for a kind is the
+mean score of its instances, counted only with ``MIN_SEEDS`` different seeds and a mean of ``MIN_SCORE``; an instance's score is the noisy-or of the best patterns of its two sides. After ``ROUNDS``
 rounds, instances of ``ACCEPT`` or more are identifiers, and all their occurrences are added to the base spans, which always stay.
 
 Only spans, contexts and tokens leave the texts; they are stored, and texts are read once. Patterns and tokens that a thousandth of all
@@ -30,6 +30,10 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: What a text must hold for a kind to be looked for at all.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
 INSTANCE = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
+#: Such a token with the groups of digits that follow it.
+WINDOW = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+(?:\x20[().+-]*+[0-9][0-9().+-]*+(?![^\s0-9().+,;:-]))++"
+#: Digits from which a token counts as long.
+LONG = 5
 MIN_SEEDS, MIN_SCORE, ACCEPT, ROUNDS, CONTEXT = 5, 0.8, 0.9, 3, 48
 
 
@@ -69,23 +73,29 @@ def found(documents: DataFrame, text: str = "text") -> DataFrame:
     for k, pattern in KINDS.items():
         df = _matches(df, f"_{k}", pattern, NEEDS[k])
     df = _matches(df, "_o", INSTANCE, "[0-9@]")
+    df = _matches(df, "_w", WINDOW, "[0-9@][^\\s]*\\x20[().+-]*[0-9]")
     kinds = [f"transform(filter(_{k}, x -> {_valid(k, 'x.hit')}), x -> named_struct('kind', {i}, 's', x.s, 'e', x.e, 'token', x.hit))" for i, k in enumerate(KINDS)]
     df = _let(df, "_b", F.expr(f"concat({', '.join(kinds)})"))
     trimmed = "named_struct('kind', -1, 's', x.s + length(regexp_extract(x.hit, '^[^A-Za-z0-9+(]*', 0)), 'e', x.e - length(regexp_extract(x.hit, '[^A-Za-z0-9)]*$', 0)), 'token', x.hit)"
-    df = _let(df, "_c", F.expr(f"filter(transform(filter(_o, x -> not exists(_b, b -> b.s < x.e and x.s < b.e) and x.hit rlike '[A-Za-z0-9]'), x -> {trimmed}), x -> x.s < x.e)"))
-    before = f"lower(regexp_extract(substring(text, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT})), r'([^\\s]+)\\s*$', 1))"
-    after = f"lower(regexp_extract(substring(text, x.e + 1, {CONTEXT}), r'^[^\\s]*\\s+([^\\s]+)', 1))"
-    shape = "regexp_replace(regexp_replace(substring(token, 1, 64), '[0-9]+', '9'), '[A-Za-z]+', 'a')"
+    # a group of tokens that touches a base span falls back to its tokens
+    df = _let(df, "_v", F.expr("filter(_w, x -> not exists(_b, b -> b.s < x.e and x.s < b.e))"))
+    df = _let(df, "_t", F.expr("concat(_v, filter(_o, x -> not exists(_v, v -> v.s < x.e and x.s < v.e)))"))
+    df = _let(df, "_c", F.expr(f"filter(transform(filter(_t, x -> not exists(_b, b -> b.s < x.e and x.s < b.e) and x.hit rlike '[A-Za-z0-9]'), x -> {trimmed}), x -> x.s < x.e)"))
+    left, right = f"substring(text, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))", f"substring(text, x.e + 1, {CONTEXT})"
+    words = lambda t, pattern: f"lower(regexp_replace(regexp_extract({t}, r'{pattern}', 1), '\\\\s+', ' '))"
+    contexts = {"before": words(left, r"([^\s]+)\s*$"), "before2": words(left, r"([^\s]+\s+[^\s]+)\s*$"), "after": words(right, r"^[^\s]*\s+([^\s]+)"), "after2": words(right, r"^[^\s]*\s+([^\s]+\s+[^\s]+)")}
     token = "substring(text, x.s + 1, x.e - x.s)"
-    full = lambda c: F.expr(f"transform({c}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'token', lower({token}), 'shape', {shape.replace('token', token, 1)}, 'before', {before}, 'after', {after}))")
+    kind_of = f"case when {token} like '%@%' then '@' when length(regexp_replace({token}, '[^0-9]', '')) >= {LONG} then '9' else '1' end"
+    fields = "".join(f", '{c}', {e}" for c, e in contexts.items())
+    full = lambda c: F.expr(f"transform({c}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'token', lower({token}), 'class', {kind_of}{fields}))")
     return stored(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", full("_b").alias("base"), full("_c").alias("other")), "pii-found")
 
 
 def bootstrap(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Discovered instances (token, kind, n occurrences) from ``found``'s rows."""
     each = stored(rows.select(F.explode(F.concat("base", "other")).alias("x")).select("x.*"), "pii-instances")
-    context = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word"))))
-    edges = each.select("token", "shape", context.alias("c")).filter("c.word <> ''").select("token", F.concat_ws(" ", "c.side", "c.word", "shape").alias("pattern")).distinct()
+    context = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("word")) for c in ("before", "before2", "after", "after2")]))
+    edges = each.select("token", "class", context.alias("c")).filter("c.word <> ''").select("token", F.concat_ws(" ", "c.side", "class", "c.word").alias("pattern")).distinct()
     seeds = each.filter("kind >= 0").select("token", "kind").distinct()
     edges = stored(edges.join(seeds.select("token", F.lit(True).alias("seed")).distinct(), "token", "left").withColumn("seed", F.coalesce("seed", F.lit(False))), "pii-edges")
     totals = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-patterns")
@@ -100,6 +110,8 @@ def bootstrap(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         good = by_pattern.filter(F.col("seeds") >= MIN_SEEDS).join(totals, "pattern").withColumn("p", F.round(F.col("sum") / F.col("n"), 6)).filter(F.col("p") >= MIN_SCORE)
         good = stored(good.groupBy("pattern").agg(F.max(F.struct("p", -F.col("kind"))).alias("best"), F.max("n").alias("n")).select("pattern", F.col("best.p").alias("p"), (-F.col("best.col2")).alias("kind"), "n"), "pii-good")
         reached = join_hot(unknown, good, "pattern", "n", max(count, 1)).filter("p is not null")
+        side = F.col("pattern").startswith("before")
+        reached = reached.groupBy("token", "kind", side.alias("side")).agg(F.max("p").alias("p"))  # what one side tells counts once
         scores = stored(reached.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("score")), "pii-scores")
     best = scores.groupBy("token").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("kind")).alias("k"))).alias("b")).filter(F.col("b.score") >= ACCEPT)
     occurrences = each.filter("kind < 0").groupBy("token").agg(F.count("*").alias("n"))

@@ -186,3 +186,14 @@ def test_identifiers(spark, docs, none):
     more = [(100 + i, f"mail to user{i}@example.org now") for i in range(8)] + [(199, "mail to user9@localhost now")]
     found = {r.doc_id: [tuple(x) for x in r["all"]] for r in identifiers.spans(spark.createDataFrame(seeds + more, "doc_id long, text string")).collect()}
     assert len(found[3]) == 1 and len(found[103]) == 1
+
+
+def test_identifiers_of_unseen_shape_are_discovered(spark):
+    """Short, spaced and dotless forms after known cue words; not numbers after other words, nor short ones after a cue."""
+    rows = [(i, f"call me at +49 30 {100000 + i} today") for i in range(24)] + [(99, "call me at 030-123 today"), (98, "call me at 030 12 34 today")]
+    rows += [(100 + i, f"mail to user{i}@example.org now") for i in range(8)] + [(199, "mail to user9@localhost now")]
+    rows += [(300, "call me at 5 today"), (302, "the total of 123456 parts"), (303, "see 5 10.0.0.1 now"), (304, "mail to box77 now")] + [(400 + i, f"room 77-123{i} today") for i in range(8)]
+    found = {r.doc_id: [tuple(x) for x in r["all"]] for r in identifiers.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[99] == [(3, 11, 18)] and found[98] == [(3, 11, 20)] and found[199] == [(0, 8, 23)]
+    assert [found[i] for i in (300, 302, 304, *range(400, 408))] == [[]] * 11 and found[303] == [(1, 6, 14)]
+    assert all(len(found[i]) == 1 for i in [*range(24), *range(100, 108)])

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from stratamesh.llm import bpe, lines, ngramjoin, rules, storage, winnowing
 from stratamesh.llm.storage import stored, without
 
+#: Words of a shingle and Jaccard percentage from which documents are near copies; op9_ngram_join has its own.
+SHINGLE, PERCENT = 5, 80
+
 #: Tables that the stage before has stored: its rows are written when the next stage begins, so these go then.
 _left: list[str] = []
 
@@ -49,7 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id."""
-    groups = ngramjoin.components(docs)
+    groups = ngramjoin.components(docs, k=SHINGLE, percent=PERCENT)
     return without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
 
 

@@ -2,7 +2,8 @@
 
 Lines are folded (trimmed, lower case); lines of equal folded text are one class, known by a 64-bit hash. A class's signature
 comes from one hash of its 12-character shingles that begin a word (for scripts beyond Latin: any character): the hash space is a circle with 16
-marks, and the three hashes that follow a mark make a band. Two lines whose
+marks, and the three hashes that follow a mark make a band. Lines with few such shingles, at all or for their length (URLs, paths, rows of tables, long compounds), get
+bands of all their 5-character shingles besides, as an edit would change most of the few. Two lines whose
 shingle sets have similarity J share a mark's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already; lines of few shingles get bands of two hashes besides.
 Colliding classes are verified by exact Jaccard similarity of all their 5-character shingles and linked at 0.8 or more; components come from
 distributed label steps, and of each component the first line (by doc_id, then line) stays.
@@ -22,6 +23,8 @@ from .storage import Scratch, stored
 PERCENT, SHINGLE = 80, 5
 #: 2**REGION_BITS marks, bands of BAND hashes; shingles of ANCHORED characters at word starts.
 REGION_BITS, BAND, ANCHORED = 4, 3, 12
+#: Lines of fewer anchored shingles, or of more characters to each, get bands of all shingles besides.
+ANCHORS, SPREAD = 6, 12
 #: Lines of fewer shingles get shorter bands besides.
 FEW = 32
 #: Classes (8 bytes each) up to which the filter on lines goes to every task.
@@ -43,13 +46,19 @@ def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
 def signatures(rows: DataFrame) -> DataFrame:
     """line and keys (one for each region that has shingles) of rows with line and folded."""
     anchor = rf"(?s)(?:(?<![^\s])|(?<=[^\x00-\x{{24F}}]))(?=([^\s].{{0,{ANCHORED - 1}}}))"
-    df = rows.select("line", F.transform(F.regexp_extract_all("folded", F.lit(anchor), F.lit(1)), lambda x: F.xxhash64(x)).alias("hashes"))
-    df = _let(df, "_s", F.expr("sort_array(array_distinct(hashes))")).drop("hashes")
+    df = rows.select("line", "folded", F.transform(F.regexp_extract_all("folded", F.lit(anchor), F.lit(1)), lambda x: F.xxhash64(x)).alias("hashes"))
+    df = _let(df, "_s", F.expr("sort_array(array_distinct(hashes))"))
+    few = (F.size("hashes") < ANCHORS) | (F.length("folded") > SPREAD * F.size("hashes"))
+    every = F.transform(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    df = _let(df, "_a", F.when(few, F.sort_array(F.array_distinct(every))).otherwise(F.expr("cast(array() as array<bigint>)")))
     shift = 64 - REGION_BITS
-    starts = f"filter(sequence(0, size(_s) - 1), i -> i = 0 or shiftright(_s[i], {shift}) <> shiftright(_s[i - 1], {shift}))"
-    band = lambda n: f"transform({starts}, i -> xxhash64({n}, {', '.join(f'_s[(i + {j}) % size(_s)]' for j in range(n))}))"
-    keys = f"case when size(_s) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
-    return df.select("line", F.expr(keys).alias("keys"))
+
+    def bands(s: str) -> str:
+        starts = f"filter(sequence(0, size({s}) - 1), i -> i = 0 or shiftright({s}[i], {shift}) <> shiftright({s}[i - 1], {shift}))"
+        band = lambda n: f"transform({starts}, i -> xxhash64({n}, {', '.join(f'{s}[(i + {j}) % size({s})]' for j in range(n))}))"
+        return f"case when size({s}) = 0 then cast(array() as array<bigint>) when size({s}) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
+
+    return df.select("line", F.expr(f"array_distinct(concat({bands('_s')}, {bands('_a')}))").alias("keys"))
 
 
 def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -113,6 +113,21 @@ def test_lines(spark, none):
     assert lines.repeated(none).count() == 0
 
 
+def test_lines_without_spaces(spark):
+    """Near lines of one to three long tokens, with an edit at every place, and http and https."""
+    names = [hashlib.sha256(str(i).encode()).hexdigest() + hashlib.sha256(str(-i - 1).encode()).hexdigest()[:12] for i in range(72)]
+    grams = lambda t: {t[j : j + 5] for j in range(len(t) - 4)}
+    pairs = [(f"http://www.{n[:55]}/{i}", f"https://www.{n[:55]}/{i}") for i, n in enumerate(names[:24])]
+    for i, n in enumerate(names):
+        t = n if i % 3 == 0 else n[:40] + " " + n[40:] if i % 3 == 1 else n[:25] + " " + n[25:50] + " " + n[50:]
+        pairs.append((t, t[:i] + "#" + t[i + 1 :]))
+    assert all(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for a, b in pairs)
+    df = spark.createDataFrame([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in lines.repeated(df).collect()}
+    assert sum(got.get(2 * i + 1) == 2 * i for i in range(len(pairs))) >= 0.98 * len(pairs)
+    assert all(first == d - d % 2 for d, first in got.items())
+
+
 def test_ranking(spark, none):
     good, bad = [(i, text(i, 80) + ".", 1) for i in range(60)], [(100 + i, "### ".join(text(i, 60).split()), 0) for i in range(20)]
     df = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")

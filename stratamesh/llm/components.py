@@ -3,15 +3,20 @@
 ``connected`` labels each node of an edge list with the least node it can reach, by alternating large-star and small-star steps;
 every step's edges are written to the shared folder, so lineage stays short and lost executors cost one step.
 
-``verified_links`` finds links between items that share a key. No group is gathered and no group's pairs are all made:
+``verified_links`` finds the links between items that share a key, up to connectivity. No group is gathered and no group's pairs are all made:
 groups of up to ``SMALL`` items give their pairs, larger ones compare each item with ``LEADERS`` leaders; items that are not in the
 first leader's component then get other leaders, round by round while that helps, and those left over are compared with the members of their group that are in other
-components, so that no pair of a group whose members ended in different components went unseen. Groups whose members are in one
-component already are done, which is what keeps groups of thousands of near copies cheap.
+components, in blocks, so that no pair of a group whose members ended in different components went unseen. Groups whose members are in one
+component already are done, which is what keeps groups of thousands of near copies cheap. Labels of one round are where the next one begins.
+
+Before whole sets are moved, pairs have to pass two exact tests on a few numbers of each item: the sizes, and parity bits. A set's parity bits
+are the exclusive or of one bit for each value, so two sets differ in no more bits than they differ in values, and
+sets of n and m values with a similarity of p percent differ in at most (100 - p) (n + m) / (100 + p).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +24,11 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch, delete, stored
 
-SMALL, LEADERS, ROUNDS = 6, 4, 6
+SMALL, LEADERS, ROUNDS = 6, 2, 4
+#: Members of a group that the left-over items are compared with in one block.
+BLOCK = 1_000
+#: Parity bits of an item, in words of 64.
+PARITY = 4
 #: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
 SHARE_KEYS = 300_000
 MAX_ROUNDS = 60
@@ -32,6 +41,11 @@ def _mark(edges: DataFrame) -> tuple:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of every node that has an edge; edges: columns a and b (long). Loops and repeated edges don't matter; no edges give no rows."""
+    with Scratch(edges.sparkSession) as scratch:
+        return scratch.keep(_connected(edges))
+
+
+def _connected(edges: DataFrame) -> DataFrame:
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = _mark(e)
     for _ in range(MAX_ROUNDS):
@@ -50,11 +64,12 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return stored(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "labels")
 
 
-def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
-    return members.join(components.select(F.col("id").alias("item"), "component"), "item", "left").withColumn("component", F.coalesce("component", "item"))
+def _star(labels: DataFrame) -> DataFrame:
+    """The edges that say what labels say."""
+    return labels.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b")
 
 
 def similar(x: Column, y: Column, percent: int) -> Column:
@@ -63,69 +78,98 @@ def similar(x: Column, y: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(x) + F.size(y) - both)
 
 
+def parity(tokens: str) -> list[Column]:
+    """The parity bits of an array of hashes, in ``PARITY`` words; the lowest bits of a hash tell its bit."""
+    return [F.expr(f"aggregate({tokens}, 0L, (a, x) -> case when (shiftright(x, 6) & {PARITY - 1}) = {i} then a ^ shiftleft(1L, cast(x & 63 as int)) else a end)").alias(f"p{i}") for i in range(PARITY)]
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes (n) and parity bits (p0, p1 ...) of two rows leave room for a link; x and y: what their columns' names begin with."""
+    near = f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
+    apart = " + ".join(f"bit_count({x}p{i} ^ {y}p{i})" for i in range(PARITY))
+    return F.expr(f"{near} and {100 + percent} * ({apart}) <= {100 - percent} * ({x}n + {y}n)")
+
+
 def verified_links(
     members: DataFrame,
     features: Callable[[DataFrame], DataFrame],
     percent: int,
-    narrow: Callable[[DataFrame], DataFrame] | None = None,
     attributes: DataFrame | None = None,
-    condition: Column | None = None,
+    condition: Callable[[str, str], Column] | None = None,
     small: int = SMALL,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """Edges (a, b) between items of one key whose token sets are similar.
+    """Edges (a, b) whose components are those of all links: pairs of items of one key whose token sets are similar.
 
     members: key, item (long), weight (long; the least leads its group), each (key, item) once. features: takes the items (item) that share a key
-    with another and returns (item, tokens array<long>), once for each. narrow: takes distinct pairs (a, b) and returns those worth verifying. ``condition``, on
-    columns of ``attributes`` (item and others) as x.name and y.name, rules out pairs of items that were left over before they are made.
+    with another and returns (item, tokens array<long>), once for each. ``condition`` takes the two beginnings of the names of ``attributes``' columns (item and others)
+    and rules out pairs before they are verified.
     """
     with Scratch(members.sparkSession) as scratch:
-        return scratch.keep(_linked(members, features, percent, narrow, attributes, condition, small, rounds))
+        return scratch.keep(_linked(members, features, percent, attributes, condition, small, rounds))
 
 
-def _linked(members, features, percent, narrow, attributes, condition, small, rounds) -> DataFrame:
+def _linked(members, features, percent, attributes, condition, small, rounds) -> DataFrame:
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "group-sizes")
     inside = stored(members.join(F.broadcast(sizes) if sizes.count() <= SHARE_KEYS else sizes, "key"), "group-members")
-    tokens = stored(features(stored(inside.select("item").distinct(), "group-items")), "group-tokens")
+    tokens = stored(features(stored(inside.select("item").distinct(), "group-items")).select("item", F.size("tokens").alias("n"), *parity("tokens"), "tokens"), "group-tokens")
+    light = tokens.drop("tokens")
+    if attributes is not None:
+        light = stored(light.join(attributes, "item"), "group-light")
+    rest_of = [c for c in light.columns if c != "item"]
+
+    def with_light(pairs: DataFrame, side: str, mark: str) -> DataFrame:
+        return pairs.join(light.select(F.col("item").alias(side), *[F.col(c).alias(mark + c) for c in rest_of]), side)
+
+    def may(x: str, y: str) -> Column:
+        return may_link(x, y, percent) & condition(x, y) if condition else may_link(x, y, percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = narrow(pairs) if narrow else pairs
-        near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")  # by sizes alone, before whole sets are moved
-        sizes_of = lambda c, n: tokens.select(F.col("item").alias(c), F.size("tokens").alias(n))
-        pairs = pairs.join(sizes_of("a", "n"), "a").join(sizes_of("b", "m"), "b").filter(near).select("a", "b")
+        """The links among distinct pairs that passed ``may``."""
         x, y = (tokens.select(F.col("item").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "s"), ("b", "t")))
         return pairs.join(x, "a").join(y, "b").filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verify(with_light(with_light(pairs.distinct(), "a", "x_"), "b", "y_").filter(may("x_", "y_")).select("a", "b"))
+
     few = inside.filter(F.col("m") <= small)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")))
     pairs = pairs.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     large = inside.filter(F.col("m") > small)
-    edges = stored(verify(pairs.unionByName(_to_leaders(large, large, 0)).distinct()), "links")
+    edges = stored(checked(pairs.unionByName(_to_leaders(large, large, 0))), "links")
     if large.isEmpty():
         return edges
-    left = None
+    labels, left = connected(edges), None
     for r in range(1, rounds):
-        rest = stored(_unlinked(large, edges), "links-open")
+        rest = stored(_unlinked(large, labels), "links-open")
         now = rest.count()
-        if now == 0 or (left is not None and 10 * now > 9 * left):  # further leaders hardly help
+        if now == 0:
+            return stored(_star(labels), "links")
+        if left is not None and 10 * now > 9 * left:  # further leaders hardly help
             break
         left = now
-        edges = stored(edges.unionByName(verify(_to_leaders(rest, large, r).distinct())), "links")
-    labelled = _labelled(large, connected(edges))
+        labels = connected(_star(labels).unionByName(checked(_to_leaders(rest, large, r))))
+    labelled = _labelled(large, labels)
     top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
     labelled = stored(labelled.join(top, "key"), "links-rest")
     rest = labelled.filter("component <> head")
-    if rest.isEmpty():
-        return edges
-    whole = labelled.join(rest.select("key").distinct(), "key", "left_semi").join(tokens, "item")
-    rest = rest.join(tokens, "item")
-    if attributes is not None:
-        rest, whole = rest.join(attributes, "item"), whole.join(attributes, "item")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.head")) | (F.col("x.item") < F.col("y.item")))
-    holds = apart & condition if condition is not None else apart
-    # compared inside the join: only links leave it
-    found = rest.alias("x").join(whole.alias("y"), (F.col("x.key") == F.col("y.key")) & holds & similar(F.col("x.tokens"), F.col("y.tokens"), percent))
-    return stored(edges.unionByName(found.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()), "links")
+    whole = labelled.join(rest.select("key").distinct(), "key", "left_semi")
+    # sizes of similar sets are in one band or neighbouring ones; a hot key's members are dealt out in blocks, each of which sees all that is left over
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rest = rest.join(light, "item").withColumn("band", F.explode(F.sequence(band - 1, band + 1))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    whole = whole.join(light, "item").withColumn("band", band).withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+    x = rest.select("key", "band", "block", *[F.col(c).alias(f"x_{c}") for c in ("item", "component", "head", *rest_of)])
+    y = whole.select("key", "band", "block", *[F.col(c).alias(f"y_{c}") for c in ("item", "component", *rest_of)])
+    once = (F.col("y_component") == F.col("x_head")) | (F.col("x_item") < F.col("y_item"))
+    # compared inside the join: only pairs that may be links leave it
+    pairs = x.join(y, ["key", "band", "block"]).filter((F.col("x_component") != F.col("y_component")) & once & may("x_", "y_"))
+    pairs = pairs.select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b")).distinct()
+    return stored(_star(labels).unionByName(verify(pairs)), "links")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.select(F.col("id").alias("item"), "component"), "item", "left").withColumn("component", F.coalesce("component", "item"))
 
 
 def _to_leaders(members: DataFrame, group: DataFrame, r: int) -> DataFrame:
@@ -137,9 +181,9 @@ def _to_leaders(members: DataFrame, group: DataFrame, r: int) -> DataFrame:
     return pairs.select(F.least("item", "leader").alias("a"), F.greatest("item", "leader").alias("b")).distinct()
 
 
-def _unlinked(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _unlinked(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members outside the component of their group's leader."""
-    labelled = _labelled(members, connected(edges))
+    labelled = _labelled(members, labels)
     top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
     return labelled.join(top, "key").filter("component <> head").drop("component", "head")
 

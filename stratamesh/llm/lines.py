@@ -1,15 +1,18 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are folded (trimmed, lower case); lines of equal folded text are one class, known by a 64-bit hash. A class's signature
-comes from one hash of its 12-character shingles that begin a word (for scripts beyond Latin: any character): the hash space is a circle with 16
-marks, and the three hashes that follow a mark make a band. Lines with few such shingles, at all or for their length (URLs, paths, rows of tables, long compounds), get
-bands of all their 5-character shingles besides, as an edit would change most of the few. Two lines whose
+comes from one hash of its 12-character shingles that begin a word: the hash space is a circle with 16
+marks, and the three hashes that follow a mark make a band. Lines with few such shingles, at all or for their length (scripts without spaces, URLs, paths, rows of tables,
+long compounds), get bands of all their 5-character shingles besides, as an edit would change most of the few. Two lines whose
 shingle sets have similarity J share a mark's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already; lines of few shingles get bands of two hashes besides.
-Colliding classes are verified by exact Jaccard similarity of all their 5-character shingles and linked at 0.8 or more; components come from
-distributed label steps, and of each component the first line (by doc_id, then line) stays.
+Colliding classes are verified by exact Jaccard similarity of the 64-bit hashes of all their 5-character shingles and linked at 0.8 or more; components come from
+distributed label steps, and of each component the first line (by doc_id, nulls last, then row, then line) stays.
 
-Lines without anything but white space are never duplicates. Null texts count as empty. Rows of one doc_id count as one document: equal lines at
-equal places are one line. Repeated lines within a text are duplicates too. Extra columns are kept by ``deduplicated``; an empty table gives no rows.
+Texts are read once for classes and signatures, and again only for the lines that share a band.
+
+Lines without anything but white space are never duplicates. Null texts count as empty. Every row is a text of its own: repeated rows, and rows that share a doc_id or have none,
+are told apart by a number of the row. Repeated lines within a text are duplicates too. Extra columns, of whatever names, are kept by ``deduplicated``; long texts are cut into lines of any
+length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected, join_hot, verified_links
-from .storage import Scratch, stored
+from .storage import Scratch, numbered, stored
 
 PERCENT, SHINGLE = 80, 5
 #: 2**REGION_BITS marks, bands of BAND hashes; shingles of ANCHORED characters at word starts.
@@ -32,10 +35,10 @@ SHARE_LIMIT = 500_000
 SPACE = "\t\n\x0b\x0c\r "
 
 
-def lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), folded text and its hash of all lines that aren't blank."""
-    each = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    folded = each.select("doc_id", "line_no", F.lower(F.trim("line", F.lit(SPACE))).alias("folded")).filter("folded <> ''")
+def lines(rows: DataFrame) -> DataFrame:
+    """row, doc_id, line_no (from 0), folded text and its hash of all lines that aren't blank; rows: row, doc_id, text."""
+    each = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    folded = each.select("row", "doc_id", "line_no", F.lower(F.trim("line", F.lit(SPACE))).alias("folded")).filter("folded <> ''")
     return folded.withColumn("line", F.xxhash64("folded"))
 
 
@@ -43,11 +46,11 @@ def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """line and keys (one for each region that has shingles) of rows with line and folded."""
-    anchor = rf"(?s)(?:(?<![^\s])|(?<=[^\x00-\x{{24F}}]))(?=([^\s].{{0,{ANCHORED - 1}}}))"
-    df = rows.select("line", "folded", F.transform(F.regexp_extract_all("folded", F.lit(anchor), F.lit(1)), lambda x: F.xxhash64(x)).alias("hashes"))
-    df = _let(df, "_s", F.expr("sort_array(array_distinct(hashes))"))
+def signed(rows: DataFrame) -> DataFrame:
+    """The rows with ``keys`` (one for each region that has shingles, and more for lines of few) in place of ``folded``."""
+    anchor = rf"(?s)\s(?=([^\s].{{0,{ANCHORED - 1}}}))"
+    hashes = F.transform(F.regexp_extract_all(F.concat(F.lit(" "), "folded"), F.lit(anchor), F.lit(1)), lambda x: F.xxhash64(x))
+    df = _let(_let(rows, "hashes", hashes), "_s", F.expr("sort_array(array_distinct(hashes))"))
     few = (F.size("hashes") < ANCHORS) | (F.length("folded") > SPREAD * F.size("hashes"))
     every = F.transform(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
     df = _let(df, "_a", F.when(few, F.sort_array(F.array_distinct(every))).otherwise(F.expr("cast(array() as array<bigint>)")))
@@ -58,47 +61,59 @@ def signatures(rows: DataFrame) -> DataFrame:
         band = lambda n: f"transform({starts}, i -> xxhash64({n}, {', '.join(f'{s}[(i + {j}) % size({s})]' for j in range(n))}))"
         return f"case when size({s}) = 0 then cast(array() as array<bigint>) when size({s}) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
 
-    return df.select("line", F.expr(f"array_distinct(concat({bands('_s')}, {bands('_a')}))").alias("keys"))
+    return df.withColumn("keys", F.expr(f"array_distinct(concat({bands('_s')}, {bands('_a')}))")).drop("folded", "hashes", "_s", "_a")
 
 
 def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The lines of components of several lines: doc_id, line_no, first_doc_id, first_line_no (the line that stays) and kept."""
+    """The lines of components of several lines: row (its number), doc_id, line_no, first_row, first_doc_id, first_line_no (the line that stays) and kept."""
     with Scratch(documents.sparkSession) as scratch:
         return _repeated(documents, percent, scratch)
 
 
 def _repeated(documents: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    found = stored(lines(documents).select("doc_id", "line_no", "line"), "lines")
-    classes = stored(found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "line-classes")
-    keys = stored(signatures(lines(documents).select("line", "folded")).groupBy("line").agg(F.first("keys").alias("keys")), "line-keys")
-    members = keys.select(F.explode("keys").alias("key"), F.col("line").alias("item"), F.lit(0).cast("long").alias("weight"))
+    rows = numbered(documents.select("doc_id", "text"))
+    each = stored(signed(lines(rows)), "lines")
+    found = each.drop("keys")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
+    classes = stored(each.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "line-classes")
+    members = classes.select(F.explode("keys").alias("key"), F.col("line").alias("item"), F.lit(0).cast("long").alias("weight"))
 
     def features(items: DataFrame) -> DataFrame:
         few = items.select(F.col("item").alias("line"))
-        texts = lines(documents).select("line", "folded").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "line", "left_semi")
+        texts = lines(rows).select("line", "folded").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "line", "left_semi")
         texts = texts.groupBy("line").agg(F.first("folded").alias("folded"))
         grams = F.when(F.length("folded") < SHINGLE, F.array("folded")).otherwise(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-        return texts.select(F.col("line").alias("item"), F.array_distinct(F.transform(grams, lambda x: F.hash(x))).alias("tokens"))
+        return texts.select(F.col("line").alias("item"), F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x))).alias("tokens"))
 
     labels = connected(verified_links(members, features, percent))
     named = classes.join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     named = stored(named.join(groups, "component").select("line", "copies", "keep"), "line-named")
-    out = join_hot(scratch.keep(found), scratch.keep(named), "line", "copies", found.count()).filter("keep is not null")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no"))
-    return out.select("doc_id", "line_no", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.line_no").alias("first_line_no"), stays.alias("kept"))
-
-
-def deduplicated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents without the lines that ``repeated`` doesn't keep; n_chars, where there is such a column, follows the text."""
-    gone = repeated(documents, percent).filter("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = documents.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
-    return joined.select(*out)
+    scratch.keep(each)
+    scratch.keep(named)
+    out = join_hot(found, named, "line", "copies", found.count()).filter("keep is not null")
+    stays = (F.col("row") == F.col("keep.row")) & (F.col("line_no") == F.col("keep.line_no"))
+    return out.select("row", "doc_id", "line_no", F.col("keep.row").alias("first_row"), F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.line_no").alias("first_line_no"), stays.alias("kept"))
+
+
+def deduplicated(documents: DataFrame, percent: int = PERCENT, drop_emptied: bool = False) -> DataFrame:
+    """The documents without the lines that ``repeated`` doesn't keep; n_chars, where there is such a column, follows the text.
+
+    With ``drop_emptied`` documents of which nothing but white space is left, though there was more, go: all they said stays elsewhere.
+    """
+    gone = repeated(documents, percent).filter("not kept").groupBy("row").agg(F.collect_set("line_no").alias("lines"))
+    own = documents.columns
+    # whatever the documents' columns are called: theirs go into one struct
+    whole = numbered(documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own")))
+    joined = whole.join(gone, "row", "left")
+    kept = F.array_join(F.filter(F.split("own.text", "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    text = F.when(F.col("lines").isNull(), F.col("own.text")).otherwise(kept)
+    joined = _let(joined, "kept", text)
+    if drop_emptied:
+        joined = joined.filter(F.col("lines").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(f"own.`{c}`").alias(c) for c in own])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """op6_lines: all repeated lines of all documents and which of them stay."""
-    return repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "first_row")

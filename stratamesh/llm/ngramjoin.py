@@ -1,7 +1,7 @@
 """Near-duplicate documents by an exact Jaccard join on word n-grams with multiple global orders.
 
 A document's set holds the hashes of its distinct n-word shingles; a text of fewer words is one shingle. Documents with equal sets
-are one class, which a representative (the least doc_id) stands for. Two classes link when 100 |intersection| >= 85 |union|.
+are one class. Two classes link when 100 |intersection| >= 85 |union|.
 
 Prefix filtering: under any global order of the shingles, linked sets of n share one of the first n - ceil(0.85 n) + 1
 shingles of either. The orders here all put rare shingles first and break ties differently. A first pass counts in how many classes each shingle
@@ -9,8 +9,9 @@ is (an inverted index, dealt out by shingle hash in blocks of packed bytes and c
 prefixes without being indexed. What is left of the prefixes under the first order gives the candidate groups, sharing a prefix shingle under each further order and the sizes rule candidates out, and
 the survivors are verified on their whole sets. Large groups go through leaders (see components), so copies are never expanded into all pairs.
 
-Null texts and texts without words have empty sets, link with nothing and are components of their own. Repeated rows are
-reported each. Extra columns are ignored.
+Null texts and texts without words have empty sets, link with nothing and are components of their own. Every row is a text of its own: repeated rows are
+reported each, and rows that share a doc_id are linked by their texts alone. A null doc_id counts as the largest: such a row's component is named by the least doc_id in it, and is
+null if there is none. Extra columns are ignored (``deduplicated`` keeps them, whatever their names); texts may be of any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .components import connected, join_hot, verified_links
-from .storage import Scratch, stored
+from .storage import Scratch, numbered, stored
 
 SHINGLE, PERCENT = 4, 85
-#: Ids of candidates (8 bytes each) up to which the filter on documents goes to every task.
+#: Row numbers (8 bytes each) up to which a filter on documents goes to every task.
 SHARE_LIMIT = 1_000_000
+#: Shingles of one part of the index, about.
+PART_TOKENS = 3_000_000
 #: Shingles that a task packs before it hands out its blocks.
 PACK_TOKENS = 1_500_000
 _TOKEN_BYTES = 5
@@ -59,18 +62,18 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _each(batch, k: int):
-    """(doc ids, sets) of the chunks of a batch."""
-    ids = batch.column("doc_id")
+    """(row numbers, doc ids, sets) of the chunks of a batch."""
+    rows, ids = batch.column("row"), batch.column("doc_id")
     data, offs = tn.buffers(batch.column("text"))
     for a, b, d, o in tn.chunks(data, offs):
-        yield ids.slice(a, b - a), list(token_sets(d, o, k))
+        yield rows.slice(a, b - a), ids.slice(a, b - a), list(token_sets(d, o, k))
 
 
 def _classes(k: int):
     def run(batches):
         for batch in batches:
-            for ids, sets in _each(batch, k):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(set_ids(sets))], ["doc_id", "n", "set"])
+            for rows, ids, sets in _each(batch, k):
+                yield pa.RecordBatch.from_arrays([rows, ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(set_ids(sets))], ["row", "doc_id", "n", "set"])
         tn.released()
 
     return run
@@ -101,7 +104,7 @@ def _packed(k: int, bits: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], ["part", "sets", "counts", "tokens"])
 
         for batch in batches:
-            for _, sets in _each(batch, k):
+            for _, _, sets in _each(batch, k):
                 for x, i in zip(sets, set_ids(sets).tolist(), strict=True):
                     if len(x) and i not in seen:  # a task hands out equal sets once
                         seen.add(i)
@@ -151,57 +154,64 @@ def _shared(table: pa.Table) -> pa.Table:
 def _sets_of(k: int):
     def run(batches):
         for batch in batches:
-            for ids, sets in _each(batch, k):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["item", "tokens"])
+            for _, _, sets in _each(batch, k):
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["item", "tokens"])
 
     return run
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, share_limit: int = SHARE_LIMIT) -> DataFrame:
-    """The documents whose doc_id is in ``ids`` (a stored table of distinct doc_id)."""
-    return docs.join(F.broadcast(ids) if ids.count() <= share_limit else ids, "doc_id", "left_semi")
+def by_rows(docs: DataFrame, rows: DataFrame, share_limit: int = SHARE_LIMIT) -> DataFrame:
+    """The documents whose row number is in ``rows`` (a stored table of distinct row)."""
+    return docs.join(F.broadcast(rows) if rows.count() <= share_limit else rows, "row", "left_semi")
 
 
 def components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    """row (its number), doc_id, n_shingles, component_id (the least doc_id reachable by links) and keep_row (the row that stands for the component) of every row."""
     with Scratch(documents.sparkSession) as scratch:
         return _components(documents, k, percent, scratch)
 
 
 def _components(documents: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(_classes(k), "doc_id long, n long, set long"), "ngram-docs")
-    classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "ngram-classes")
-    bits = min(20, max(3, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    docs = numbered(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row", "doc_id", "text")
+    rows = stored(docs.mapInArrow(_classes(k), "row long, doc_id long, n long, set long"), "ngram-docs")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = stored(rows.filter("n > 0").groupBy("set").agg(first, F.max("n").alias("n"), F.count("*").alias("copies")), "ngram-classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bits = min(20, max(3, (total // PART_TOKENS).bit_length()))
     blocks = docs.mapInArrow(_packed(k, bits), "part int, sets binary, counts binary, tokens binary")
     shared = blocks.groupBy("part").applyInArrow(_shared, "set long, token long, df long")
-    lists = shared.groupBy("set").agg(F.collect_list(F.struct("df", "token")).alias("list")).join(classes, "set")
+    lists = shared.groupBy("set").agg(F.collect_list(F.struct("df", "token")).alias("list")).join(classes.select("set", "n"), "set")
     p = F.expr(f"cast(n - floor(({percent} * n + 99) / 100) + 1 as int)")
     lists = lists.withColumn("keep", F.least(p - (F.col("n").cast("int") - F.size("list")), F.size("list"))).filter("keep > 0")
     order = lambda seed: F.slice(F.array_sort(F.transform("list", lambda x: F.struct(x["df"], F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"]))), 1, F.col("keep"))
-    index = lists.select(F.col("rep").alias("item"), "n", (F.col("n") - F.size("list")).alias("weight"), *[F.transform(order(s), lambda x: x["token"]).alias(f"order{s}") for s in range(3)])
+    index = lists.select(F.col("set").alias("item"), (F.col("n") - F.size("list")).alias("weight"), *[F.transform(order(s), lambda x: x["token"]).alias(f"order{s}") for s in range(3)])
     index = stored(index, "ngram-index")
     members = index.select(F.explode("order0").alias("key"), "item", "weight")
-    light = index.select("item", "n", "order0", "order1", "order2")
-    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & F.arrays_overlap("x.order1", "y.order1") & F.arrays_overlap("x.order2", "y.order2")
 
-    def narrow(pairs: DataFrame) -> DataFrame:
-        x, y = (light.select(F.col("item").alias(c), F.struct("n", "order1", "order2").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b")
+    def narrow(x: str, y: str):
+        return F.arrays_overlap(f"{x}order1", f"{y}order1") & F.arrays_overlap(f"{x}order2", f"{y}order2")
 
     def features(items: DataFrame) -> DataFrame:
-        ids = items.select(F.col("item").alias("doc_id"))
-        found = by_ids(docs, ids).mapInArrow(_sets_of(k), "item long, tokens array<long>").join(index.select("item", "n"), "item")
-        return found.filter(F.size("tokens") == F.col("n")).groupBy("item").agg(F.first("tokens").alias("tokens"))
+        reps = stored(classes.join(items.select(F.col("item").alias("set")), "set").select(F.col("first.row").alias("row")), "ngram-reps")
+        return by_rows(docs, reps).mapInArrow(_sets_of(k), "item long, tokens array<long>")
 
-    once = F.array_min(F.array_intersect("x.order0", "y.order0")) == F.col("x.key")  # a pair of several keys is compared at the least one
-    links = verified_links(members, features, percent, narrow, light, fits & once, small=24)
+    links = verified_links(members, features, percent, index.select("item", "order1", "order2"), narrow)
     labels = connected(links)
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set", "copies", F.coalesce("component", "rep").alias("component"))
-    found = join_hot(scratch.keep(rows), scratch.keep(stored(named, "ngram-named")), "set", "copies", rows.count())
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(labels.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    least = named.groupBy("component").agg(F.min("first").alias("keep"))
+    named = stored(named.join(least, "component").select("set", "copies", "keep"), "ngram-named")
+    found = join_hot(scratch.keep(rows), scratch.keep(named), "set", "copies", rows.count())
+    return found.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component_id"), F.coalesce("keep.row", "row").alias("keep_row"))
+
+
+def deduplicated(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, share_limit: int = SHARE_LIMIT) -> DataFrame:
+    """The documents with one row of each component: the one of the least doc_id (then row). Rows without words all stay."""
+    gone = stored(components(documents, k, percent).filter("row <> keep_row").select("row"), "ngram-gone")
+    whole = numbered(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")))
+    kept = whole.join(F.broadcast(gone) if gone.count() <= share_limit else gone, "row", "left_anti")
+    return kept.select(*[F.col(f"own.`{c}`").alias(c) for c in documents.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """op9_ngram_join: components of all documents on 4-word shingles at 85 percent."""
-    return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

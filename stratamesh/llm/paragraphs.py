@@ -1,18 +1,17 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A text's units are its paragraphs (lines) of at least ``MIN_WORDS`` words and, within paragraphs of more than ``CUT_WORDS``
-words, the pieces between sentence ends whose last word's hash is a multiple of ``CUT_EVERY``: a passage inside a longer paragraph is cut at the same places wherever it stands.
-Units of equal words are one class. Paragraph classes get MinHash signatures of their word 5-shingles, with bands tuned by ``tune`` for the
-wanted recall at the threshold; colliding classes are verified by exact Jaccard similarity of the whole shingle sets, linked, and clustered by components. Pieces join by equality alone.
-Of each cluster with several units the first one (by doc_id, then place) stays and the others are removals.
-
-Besides, every run of ``SPAN`` or more words that occurs twice (in two rows, or twice without overlap in one) is found wherever it stands and however its lines break. Of ``SPAN``
-words the least hash of their ``SEED``-word shingles is a seed; equal runs have equal seeds, so only windows whose seed is repeated are hashed whole, and windows of equal hashes are
+A text's paragraphs are its lines of at least ``MIN_WORDS`` words. Paragraphs of equal words are one class. Classes get MinHash signatures of their word 5-shingles, with bands tuned by
+``tune`` for the wanted recall at the threshold; colliding classes are verified by exact Jaccard similarity of the whole shingle sets, linked, and clustered by components.
+Of each cluster with several paragraphs the first one (by doc_id, nulls last, then row, then place) stays and the others are removals.
+
+Paragraph borders hide passages that are set into longer paragraphs or broken into short lines. So every run of ``SPAN`` or more words that occurs twice (in two rows, or twice without
+overlap in one) is found besides, wherever it stands and however its lines break. Of ``SPAN``
+words the least hash of their ``SEED``-word shingles is a seed (a MinHash of one row); equal runs have equal seeds, so only windows whose seed is repeated are hashed whole, and windows of equal hashes are
 repeats. Repeated seeds go to the tasks as a bitmap, whose false hits only cost windows that turn out single. Neighbouring windows of one state and one first document make a span.
-Pieces and spans inside a removed paragraph are not reported again, nor those that stay and lie in a repeated paragraph, nor pieces inside a span likewise.
+Spans inside a removed paragraph are not reported again, nor those that stay and lie in a repeated paragraph.
 
-Null and empty texts have no units. Rows of one doc_id are taken as one document's text each: their units are reported for each row.
-Ties in place can't occur within a text. Extra columns are ignored; an empty table gives no rows.
+Null and empty texts have no paragraphs. Every row is a text of its own: rows that repeat, that share a doc_id or that have none are told apart by a number of the row.
+Ties in place can't occur within a text. Texts may be of any length; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,18 +25,16 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .components import connected, join_hot, verified_links
-from .ngramjoin import by_ids
-from .storage import Scratch, stored
+from .ngramjoin import by_rows
+from .storage import Scratch, numbered, stored
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.995
-MIN_WORDS, CUT_WORDS, CUT_EVERY, MIN_PIECE = 25, 50, 4, 20
+MIN_WORDS = 25
 #: Words of a run that is found for certain, and of the shingles that seed it.
 SPAN, SEED = 50, 20
 #: Most bits of the bitmap of repeated seeds (64 MB), and bits in a row of it.
 MAP_BITS, ROW_BITS = 29, 15
 _U = np.uint64
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
 
 
 def tune(percent: int = PERCENT, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
@@ -46,44 +43,36 @@ def tune(percent: int = PERCENT, recall: float = RECALL, rows: int = 3) -> tuple
 
 
 def units(data: np.ndarray, offsets: np.ndarray):
-    """(words, word hashes, first word, end word, document, is paragraph) of a chunk's units."""
+    """(words, word hashes, first word, end word, document) of a chunk's paragraphs."""
     words = tn.Words(data, offsets, tn.SPACE_WORDS)
     h, n = words.hashes(), len(words)
     if n == 0:
         e = np.zeros(0, np.int64)
-        return words, h, e, e, e, np.zeros(0, bool)
+        return words, h, e, e, e
     breaks = np.union1d(np.flatnonzero(data == 0x0A), offsets)
     line = np.searchsorted(breaks, words.starts, "right")
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     end = np.append(first[1:], n)
-    long = np.repeat(end - first > CUT_WORDS, end - first)
-    cut = np.zeros(n + 1, bool)
-    cut[first] = True
-    cut[1:][_ENDS[data[words.ends - 1]] & (h % _U(CUT_EVERY) == 0)] = True
-    cut[n] = True
-    places = np.flatnonzero(cut)
-    a, b = places[:-1], places[1:]
-    piece = long[a] & (b - a >= MIN_PIECE)
     whole = end - first >= MIN_WORDS
-    starts, ends = np.concatenate([first[whole], a[piece]]), np.concatenate([end[whole], b[piece]])
-    kind = np.concatenate([np.ones(int(whole.sum()), bool), np.zeros(int(piece.sum()), bool)])
-    return words, h, starts, ends, words.doc()[starts], kind
+    return words, h, first[whole], end[whole], words.doc()[first[whole]]
 
 
-def identities(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def identities(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total, inverse = tn.gram_prefix(h)
-    return tn.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(2) + kind.astype(_U)).view(np.int64)
+    return tn.mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U)).view(np.int64)
 
 
 def _units(batches):
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, rows = batch.column("doc_id"), batch.column("row")
         data, offs = tn.buffers(batch.column("text"))
         for a, _, d, o in tn.chunks(data, offs):
-            words, h, s, e, doc, kind = units(d, o)
+            words, h, s, e, doc = units(d, o)
             points = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
-            base = points[o[doc]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array((points[words.starts[s]] - base).astype(np.int64)), pa.array((points[words.ends[e - 1]] - base).astype(np.int64)), pa.array((e - s).astype(np.int32)), pa.array(kind), pa.array(identities(h, s, e, kind))], ["doc_id", "start", "end", "n_words", "paragraph", "unit"])
+            base, who = points[o[doc]], pa.array(a + doc)
+            places = [pa.array((points[x] - base).astype(np.int64)) for x in (words.starts[s], words.ends[e - 1])]
+            yield pa.RecordBatch.from_arrays([rows.take(who), ids.take(who), *places, pa.array((e - s).astype(np.int32)), pa.array(identities(h, s, e))], ["row", "doc_id", "start", "end", "n_words", "unit"])
+    tn.released()
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -96,9 +85,8 @@ def _signatures(rows: int, bands: int):
         for batch in batches:
             data, offs = tn.buffers(batch.column("text"))
             for _, _, d, o in tn.chunks(data, offs):
-                _, h, s, e, _, kind = units(d, o)
-                s, e = s[kind], e[kind]
-                ids = identities(h, s, e, kind[kind])
+                _, h, s, e, _ = units(d, o)
+                ids = identities(h, s, e)
                 fresh = np.array([i not in seen for i in ids.tolist()], bool)
                 seen.update(ids[fresh].tolist())
                 if len(seen) > 2_000_000:  # only saves repeated rows
@@ -127,9 +115,8 @@ def _sets(batches):
     for batch in batches:
         data, offs = tn.buffers(batch.column("text"))
         for _, _, d, o in tn.chunks(data, offs):
-            _, h, s, e, _, kind = units(d, o)
-            s, e = s[kind], e[kind]
-            ids, g = identities(h, s, e, kind[kind]), tn.grams(h, SHINGLE)
+            _, h, s, e, _ = units(d, o)
+            ids, g = identities(h, s, e), tn.grams(h, SHINGLE)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.unique(g[a : b - SHINGLE + 1]).view(np.int64) for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.list_(pa.int64()))], ["unit", "tokens"])
 
 
@@ -233,15 +220,19 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"row": row[a], "doc_id": pa.array(doc[a], mask=~known[a]), "word": word[a], "last": word[b], "start": start[a], "end": end[b], "keep_id": pa.array(doc[k], mask=~known[k]), "keep_start": start[k], "removed": removed[a]})
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return numbered(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
 def spans(documents: DataFrame) -> DataFrame:
-    """Every run of ``SPAN`` or more words that occurs twice: doc_id, start, end (code points), n_words, keep (doc_id and start of where it stays), removed."""
+    """Every run of ``SPAN`` or more words that occurs twice: row (its number), doc_id, start, end (code points), n_words, keep (doc_id and start of where it stays), removed."""
     with Scratch(documents.sparkSession) as scratch:
         return scratch.keep(_spans(documents))
 
 
 def _spans(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _texts(documents)
     seeds = stored(docs.mapInArrow(_seeded, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed"), "span-seeds")
     bits = min(MAP_BITS, max(ROW_BITS, (16 * seeds.count()).bit_length()))
     slot = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
@@ -252,7 +243,7 @@ def _spans(documents: DataFrame) -> DataFrame:
         table[r["at"] * size : (r["at"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(table)
     parts = min(20, max(3, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
-    found = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_windowed(shared, bits, parts), "part int, row long, doc_id long, word long, start long, end long, starts binary, ends binary, hashes binary")
+    found = docs.mapInArrow(_windowed(shared, bits, parts), "part int, row long, doc_id long, word long, start long, end long, starts binary, ends binary, hashes binary")
     each = stored(found.groupBy("part").applyInArrow(_compared, "row long, doc_id long, word long, last long, start long, end long, keep_id long, keep_start long, removed boolean"), "span-parts")
     shared.unpersist()
     order = Window.partitionBy("row").orderBy("word")
@@ -262,20 +253,21 @@ def _spans(documents: DataFrame) -> DataFrame:
     words = (F.max("last") - F.min("word") + SPAN).cast("int").alias("n_words")
     keep = F.min_by(F.struct(F.col("keep_id").alias("doc_id"), F.col("keep_start").alias("start")), "word").alias("keep")
     runs = each.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), words, keep, F.first("removed").alias("removed"))
-    return stored(runs.drop("row", "run"), "spans")
+    return stored(runs.drop("run"), "spans")
 
 
 def clusters(documents: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """The repeated units: doc_id, start, end (code points), n_words, first_doc_id, first_start (the unit of the cluster that stays), removed."""
+    """The repeated passages: row (its number), doc_id, start, end (code points), n_words, first_doc_id, first_start (the passage of the cluster that stays), removed."""
     with Scratch(documents.sparkSession) as scratch:
         return _clusters(documents, percent, recall, scratch)
 
 
 def _clusters(documents: DataFrame, percent: int, recall: float, scratch: Scratch) -> DataFrame:
     long = scratch.keep(spans(documents))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(docs.mapInArrow(_units, "doc_id long, start long, end long, n_words int, paragraph boolean, unit long"), "units")
-    classes = stored(found.groupBy("unit").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"), F.first("paragraph").alias("paragraph")), "unit-classes")
+    docs = _texts(documents)
+    found = stored(docs.mapInArrow(_units, "row long, doc_id long, start long, end long, n_words int, unit long"), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
+    classes = stored(found.groupBy("unit").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "unit-classes")
     rows, bands = tune(percent, recall)
     keys = docs.mapInArrow(_signatures(rows, bands), "unit long, keys array<long>")
     keys = stored(keys.groupBy("unit").agg(F.first("keys").alias("keys")), "unit-keys")
@@ -283,30 +275,24 @@ def _clusters(documents: DataFrame, percent: int, recall: float, scratch: Scratc
 
     def features(items: DataFrame) -> DataFrame:
         named = items.select(F.col("item").alias("unit"))
-        ids = stored(classes.join(named, "unit").select(F.col("first.doc_id").alias("doc_id")).distinct(), "unit-docs")
-        sets = by_ids(docs, ids).mapInArrow(_sets, "unit long, tokens array<long>").join(named, "unit", "left_semi")
+        reps = stored(classes.join(named, "unit").select(F.col("first.row").alias("row")).distinct(), "unit-docs")
+        sets = by_rows(docs, reps).mapInArrow(_sets, "unit long, tokens array<long>").join(named, "unit", "left_semi")
         return sets.groupBy(F.col("unit").alias("item")).agg(F.first("tokens").alias("tokens"))
 
-    labels = connected(verified_links(members, features, percent, small=24))
+    labels = connected(verified_links(members, features, percent))
     named = classes.join(labels.select(F.col("id").alias("unit"), "component"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("units")).filter("units > 1")
     named = stored(named.join(groups, "component").select("unit", "copies", "keep"), "unit-named")
-    every = found.filter("unit is not null")
-    repeated = stored(join_hot(every, named, "unit", "copies", every.count()).filter("keep is not null"), "unit-repeated")
+    repeated = stored(join_hot(found, named, "unit", "copies", found.count()).filter("keep is not null"), "unit-repeated")
     scratch.keep(repeated)
-    away = ~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start")))
-    repeated = repeated.select("doc_id", "start", "end", "n_words", "keep", away.alias("removed"), "paragraph")
-    whole, pieces = (repeated.filter(c).drop("paragraph") for c in ("paragraph", "not paragraph"))
-
-    def outside(inner: DataFrame, outer: DataFrame) -> DataFrame:
-        """The units not told already by one around them."""
-        inside = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.start") >= F.col("y.start")) & (F.col("x.end") <= F.col("y.end"))
-        return inner.alias("x").join(outer.select("doc_id", "start", "end", "removed").alias("y"), inside & (F.col("y.removed") | ~F.col("x.removed")), "left_anti")
-
-    out = whole.unionByName(outside(long, whole)).unionByName(outside(pieces, whole.unionByName(long)))
-    return out.select("doc_id", "start", "end", "n_words", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.start").alias("first_start"), "removed")
+    away = ~((F.col("row") == F.col("keep.row")) & (F.col("start") == F.col("keep.start")))
+    whole = repeated.select("row", "doc_id", "start", "end", "n_words", F.struct("keep.doc_id", "keep.start").alias("keep"), away.alias("removed"))
+    inside = (F.col("x.row") == F.col("y.row")) & (F.col("x.start") >= F.col("y.start")) & (F.col("x.end") <= F.col("y.end"))
+    told = inside & (F.col("y.removed") | ~F.col("x.removed"))
+    out = whole.unionByName(long.alias("x").join(whole.select("row", "start", "end", "removed").alias("y"), told, "left_anti"))
+    return out.select("row", "doc_id", "start", "end", "n_words", F.col("keep.doc_id").alias("first_doc_id"), F.col("keep.start").alias("first_start"), "removed")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """op8_paragraphs: the repeated passages of all documents."""
-    return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")

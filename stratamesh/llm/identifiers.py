@@ -13,6 +13,8 @@ empty strings; repeated rows are reported each; extra columns are ignored; an em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,9 +83,12 @@ def found(documents: DataFrame, text: str = "text") -> DataFrame:
     df = _let(df, "_v", F.expr("filter(_w, x -> not exists(_b, b -> b.s < x.e and x.s < b.e))"))
     df = _let(df, "_t", F.expr("concat(_v, filter(_o, x -> not exists(_v, v -> v.s < x.e and x.s < v.e)))"))
     df = _let(df, "_c", F.expr(f"filter(transform(filter(_t, x -> not exists(_b, b -> b.s < x.e and x.s < b.e) and x.hit rlike '[A-Za-z0-9]'), x -> {trimmed}), x -> x.s < x.e)"))
-    left, right = f"substring(text, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))", f"substring(text, x.e + 1, {CONTEXT})"
+    near = f"substring(text, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))", f"substring(text, x.e + 1, {CONTEXT})"
+    # where the nearest characters don't hold two whole words, all the text on that side is looked at
+    left = f"case when x.s <= {CONTEXT} or {near[0]} rlike r'\\s[^\\s]++\\s++[^\\s]++\\s*+$' then {near[0]} else substring(text, 1, x.s) end"
+    right = f"case when length({near[1]}) < {CONTEXT} or {near[1]} rlike r'^[^\\s]*+\\s++[^\\s]++\\s++[^\\s]++\\s' then {near[1]} else substring(text, x.e + 1) end"
     words = lambda t, pattern: f"lower(regexp_replace(regexp_extract({t}, r'{pattern}', 1), '\\\\s+', ' '))"
-    contexts = {"before": words(left, r"([^\s]+)\s*$"), "before2": words(left, r"([^\s]+\s+[^\s]+)\s*$"), "after": words(right, r"^[^\s]*\s+([^\s]+)"), "after2": words(right, r"^[^\s]*\s+([^\s]+\s+[^\s]+)")}
+    contexts = {"before": words(left, r"(?<![^\s])([^\s]++)\s*+$"), "before2": words(left, r"(?<![^\s])([^\s]++\s++[^\s]++)\s*+$"), "after": words(right, r"^[^\s]*+\s++([^\s]++)"), "after2": words(right, r"^[^\s]*+\s++([^\s]++\s++[^\s]++)")}
     token = "substring(text, x.s + 1, x.e - x.s)"
     kind_of = f"case when {token} like '%@%' then '@' when length(regexp_replace({token}, '[^0-9]', '')) >= {LONG} then '9' else '1' end"
     fields = "".join(f", '{c}', {e}" for c, e in contexts.items())
@@ -131,6 +136,10 @@ def spans(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return joined.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added"))).alias("all"))
 
 
+def _is(kind: int) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == kind
+
+
 def _text(column: str) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"], x["e"])), ",")
@@ -139,5 +148,5 @@ def _text(column: str) -> Column:
 def op10(spark, sf_dir: str) -> DataFrame:
     """op10_identifiers: personal data in every document."""
     found = spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_text("base").cast("binary"), 256).alias("base_sha256"), _text("all").alias("spans"))

@@ -1,34 +1,35 @@
 """Benchmark decontamination by winnowing.
 
 Documents and benchmark items are split into words; k-word hashes are winnowed (a hash is kept where it is the
-minimum of some window of w consecutive hashes), fingerprints of both sides are joined, and every hit is extended word
-by word in both directions. With k + w - 1 = 13 any span of 13 shared words holds a kept hash at the same
+minimum of some window of w consecutive hashes), fingerprints of both sides are joined, and every hit is extended to the windows of 13 words
+around it. With k + w - 1 = 13 any span of 13 shared words holds a kept hash at the same
 place on both sides, so no shared span of that length is lost. An item of fewer than 13 words is one window of its
-own length n; such lengths get their own tier with k + w - 1 = n.
+own length n; such lengths get their own tier with k + w - 1 = n. A window around a hit occurs in the benchmark if its own 64-bit hash does too, so that
+two hashes have to agree, and a long run of one word costs its length and not its product with the other side's.
 
-Nulls and empty texts have no words and no hits; repeated rows are reported each; benchmark items without words match
-nothing; repeated item texts count as separate items. Extra columns of either table are ignored.
+Nulls and empty texts have no words and no hits. Every row is a document of its own, also if it repeats or has no doc_id; benchmark items without words match
+nothing; rows of one item_id are one item with several texts; items without an id give hits but no name. Texts may be of any length; extra columns of either table are ignored
+(``decontaminated`` keeps those of documents, whatever their names); an empty table gives no rows, an empty benchmark no hits.
 
-Fingerprints of the benchmark are shared with all tasks only while their counted number stays below ``share_limit``;
-beyond it both sides' fingerprints are joined by a shuffle, with equal results.
+The benchmark's hashes are shared with all tasks as sorted arrays while their counted number stays below ``share_limit``;
+beyond it both sides' fingerprints, then windows, are joined by shuffles, with equal results.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .storage import stored
+from .storage import Scratch, numbered, stored
 
 WINDOW = 13
-#: Benchmark fingerprints (about 16 bytes each) and bytes of item text up to which they go to every task.
-SHARE_LIMIT, SHARE_BYTES = 2_000_000, 64 << 20
+#: Windows of the benchmark up to which its hashes go to every task: 20 bytes for each window, 8 for each fingerprint.
+SHARE_LIMIT = 4_000_000
+#: Row numbers (8 bytes each) up to which the rows to be removed go to every task.
+REMOVED_LIMIT = 1_000_000
 _U = np.uint64
 
 
@@ -62,192 +63,208 @@ def selected(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, n
     return at, g[at]
 
 
-def _fingerprints(id_col: str, text_col: str, lengths: list[int] | None):
-    """mapInArrow body: (id, span, hash, pos) of the kept fingerprints; lengths None: an item's own span."""
+def _hashed(lengths: list[int] | None, what: str):
+    """mapInArrow body: (id, span, hash, pos) of the kept fingerprints or of all windows; lengths None: a row's own span."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False)
-            data, offs = tn.buffers(batch.column(text_col))
-            for a, b, d, o in tn.chunks(data, offs):
+            ids = batch.column("id")
+            data, offs = tn.buffers(batch.column("text"))
+            for a, _, d, o in tn.chunks(data, offs):
                 words = tn.Words(d, o, tn.ALNUM_WORDS)
                 h, doc, counts = words.hashes(), words.doc(), np.diff(words.first)
-                spans = lengths if lengths is not None else sorted({min(WINDOW, int(c)) for c in counts if c})
-                for n in spans:
-                    at, g = selected(h, doc, n)
+                for n in lengths if lengths is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):
+                    at, g = selected(h, doc, n) if what == "prints" else windows(h, doc, n)
                     if lengths is None:
                         own = np.minimum(counts, WINDOW)[doc[at]] == n
                         at, g = at[own], g[own]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc[at]]), pa.array(np.full(len(at), n, np.int32)), pa.array(g.view(np.int64)), pa.array((at - words.first[doc[at]]).astype(np.int32))], ["id", "span", "hash", "pos"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + doc[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(g.view(np.int64)), pa.array((at - words.first[doc[at]]).astype(np.int32))], ["id", "span", "hash", "pos"])
+        tn.released()
 
     return run
 
 
-FINGERPRINT = "id long, span int, hash long, pos int"
+HASHED = "id long, span int, hash long, pos int"
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, lengths: list[int] | None = None) -> DataFrame:
-    """The winnowed fingerprints of a table; ``lengths`` None takes min(13, words) for each row (benchmark items)."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints("id", "text", lengths), FINGERPRINT)
+def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of all windows of n words within a document."""
+    g = tn.grams(hashes, n)
+    at = np.flatnonzero(doc[: len(g)] == doc[n - 1 :]) if len(g) else np.zeros(0, np.int64)
+    return at, g[at]
 
 
-def extend(words: list[bytes], item: list[bytes], hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word ranges of the document in which a window of the item occurs, by extending each (doc pos, item pos) hit."""
-    need, done, out = min(WINDOW, len(item)), {}, []
-    for p, q in hits:
-        if done.get(p - q, -1) > p or words[p] != item[q]:
-            continue
-        a = 0
-        while p - a > 0 and q - a > 0 and words[p - a - 1] == item[q - a - 1]:
-            a += 1
-        b = 1
-        while p + b < len(words) and q + b < len(item) and words[p + b] == item[q + b]:
-            b += 1
-        done[p - q] = p + b
-        if need and a + b >= need:
-            out.append((p - a, p + b))
-    return out
+def around(hit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """First words of the windows of n words that hold a fingerprint at one of the places ``hit``."""
+    k, _ = tier(n)
+    span = len(doc) - n + 1
+    if span <= 0 or not len(hit):
+        return np.zeros(0, np.int64)
+    steps = np.zeros(span + 1, np.int64)
+    np.add.at(steps, np.maximum(hit - (n - k), 0), 1)
+    np.add.at(steps, np.minimum(hit, span - 1) + 1, -1)
+    at = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+    return at[doc[at] == doc[at + n - 1]]
 
 
-def covered(ranges: list[tuple[int, int]]) -> int:
-    """How many words lie in any of the ranges."""
-    total, end = 0, 0
-    for a, b in sorted(ranges):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+def found_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values a sorted array has."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 class Index:
-    """The benchmark's fingerprints and words, small enough to be in every task."""
-
-    def __init__(self, prints: list, items: dict[int, list[bytes]]):
-        self.items = items
-        self.places: dict[tuple[int, int], list] = defaultdict(list)
-        by_span: dict[int, set] = defaultdict(set)
-        for i, span, h, pos in prints:
-            self.places[span, h].append((i, pos))
-            by_span[span].add(h)
-        self.spans = {n: np.sort(np.array(sorted(s), np.int64).view(_U)) for n, s in sorted(by_span.items())}
-        self.filters = {}
-        for n, s in self.spans.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[(s >> _U(42)).astype(np.int64)] = True
-            self.filters[n] = bits
+    """The benchmark's hashes by span: sorted fingerprints, sorted window hashes, and the items of each window."""
+
+    def __init__(self, prints: pa.Table, wins: pa.Table):
+        self.names = sorted(set(wins["id"].to_pylist()) - {None})
+        ids = wins["id"].combine_chunks()
+        known = np.asarray(ids.is_valid())
+        item = np.where(known, np.searchsorted(np.array(self.names, np.int64), ids.fill_null(0).to_numpy()), -1).astype(np.int32)
+        span, hashes = wins["span"].to_numpy(), wins["hash"].to_numpy().view(_U)
+        self.spans = {}
+        for n in sorted(set(span.tolist())):
+            h, i = hashes[span == n], item[span == n]
+            order = np.lexsort((i, h))
+            h, i = h[order], i[order]
+            slots, first = np.unique(h, return_index=True)
+            self.spans[n] = np.unique(prints["hash"].to_numpy().view(_U)[prints["span"].to_numpy() == n]), slots, np.append(first, len(h)), i
 
     def hits(self, h: np.ndarray, doc: np.ndarray):
-        """(span, word place, hash) of the documents' fingerprints that the benchmark has."""
-        for n, known in self.spans.items():
+        """For each span: (span, first words of occurring windows, their slots)."""
+        for n, (prints, slots, _, _) in self.spans.items():
             at, g = selected(h, doc, n)
-            maybe = self.filters[n][(g >> _U(42)).astype(np.int64)]
-            at, g = at[maybe], g[maybe]
-            place = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            sure = known[place] == g
-            yield n, at[sure], g[sure].view(np.int64)
+            start = around(at[found_in(g, prints)], doc, n)
+            if len(start):
+                g = tn.grams(h, n)[start]
+                sure = found_in(g, slots)
+                yield n, start[sure], np.searchsorted(slots, g[sure])
+
+    def items(self, n: int, doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Distinct rows (document, item) of the windows that documents hold."""
+        _, _, first, item = self.spans[n]
+        pairs = np.unique(np.column_stack([doc, slot]), axis=0)
+        size = np.diff(first)[pairs[:, 1]]
+        places = np.repeat(first[:-1][pairs[:, 1]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out = np.column_stack([np.repeat(pairs[:, 0], size), item[places]])
+        return np.unique(out[out[:, 1] >= 0], axis=0)
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in any of the ranges."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def merged(hit: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+    """For each document the runs of hit words (a, b), counted from its first word."""
+    edge = np.zeros(len(hit) + 1, bool)
+    edge[first] = True
+    before = np.concatenate([[False], hit])[: len(hit)]
+    after = np.concatenate([hit, [False]])[1:]
+    a = np.flatnonzero(hit & (~before | edge[:-1]))
+    b = np.flatnonzero(hit & (~after | edge[1:])) + 1
+    doc = np.searchsorted(first, a, "right") - 1
+    out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+    for d, x, y in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True):
+        out[d].append({"a": x - int(first[d]), "b": y - int(first[d])})
+    return out
+
 
+RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+RESULT = "row long, doc_id long, n_words long, n_hit long, items array<long>, ranges array<struct<a:int,b:int>>"
 
-RESULT = "doc_id long, n_words long, n_hit long, items array<long>, ranges array<struct<item:long,a:int,b:int>>"
 
+def _result(batch, a: int, b: int, words: tn.Words, hit: np.ndarray, items: list[list[int]]):
+    counts = np.diff(words.first)
+    n_hit = np.bincount(words.doc()[hit], minlength=b - a).astype(np.int64)
+    return pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), pa.array(merged(hit, words.first), RANGES)], ["row", "doc_id", "n_words", "n_hit", "items", "ranges"])
 
-def _scan(index):
-    index_of = index
 
+def _scan(shared):
     def run(batches):
-        index = index_of.value
+        index = shared.value
         for batch in batches:
-            ids = batch.column("doc_id")
             data, offs = tn.buffers(batch.column("text"))
             for a, b, d, o in tn.chunks(data, offs):
                 words = tn.Words(d, o, tn.ALNUM_WORDS)
-                counts, h, doc = np.diff(words.first), words.hashes(), words.doc()
-                per_doc: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-                for n, at, g in index.hits(h, doc):
-                    for p, x, k in zip((at - words.first[doc[at]]).tolist(), g.tolist(), doc[at].tolist(), strict=True):
-                        for item, q in index.places[n, x]:
-                            per_doc[k][item].append((p, q))
-                hit, items, ranges = np.zeros(b - a, np.int64), [[]] * (b - a), [[]] * (b - a)
-                for k, by_item in per_doc.items():
-                    own = words.strings(k)
-                    found = {i: r for i, pq in by_item.items() if (r := extend(own, index.items[i], sorted(pq)))}
-                    hit[k] = covered([x for r in found.values() for x in r])
-                    items[k] = sorted(found)
-                    ranges[k] = [{"item": i, "a": x, "b": y} for i in sorted(found) for x, y in sorted(set(found[i]))]
-                schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("ranges", pa.list_(pa.struct([("item", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])))])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(hit), pa.array(items, pa.list_(pa.int64())), pa.array(ranges, schema.field("ranges").type)], schema=schema)
+                h, doc = words.hashes(), words.doc()
+                hit, named = np.zeros(len(words), bool), [set() for _ in range(b - a)]
+                for n, start, slot in index.hits(h, doc):
+                    hit |= covered(start, start + n, len(words))
+                    for k, i in index.items(n, doc[start], slot).tolist():
+                        named[k].add(index.names[i])
+                yield _result(batch, a, b, words, hit, [sorted(x) for x in named])
+        tn.released()
 
     return run
 
 
-def item_words(text: str | None) -> list[bytes]:
-    data, offs = tn.buffers(pa.array([text], pa.string()))
-    return tn.Words(data, offs, tn.ALNUM_WORDS).strings(0)
-
-
-def _pairs_verified(batches):
-    """(doc_id, item_id, text, item_text, hits) -> ranges of the document in which windows of the item occur."""
+def _candidates(batches):
+    """(row, span, hash, pos) of the windows around the hits (span, pos) of a document."""
     for batch in batches:
-        out: dict[str, list] = {"doc_id": [], "item": [], "ranges": []}
-        for r in batch.to_pylist():
-            found = extend(item_words(r["text"]), item_words(r["item_text"]), sorted((h["p"], h["q"]) for h in r["hits"]))
-            if found:
-                out["doc_id"].append(r["doc_id"])
-                out["item"].append(r["item_id"])
-                out["ranges"].append([{"a": x, "b": y} for x, y in sorted(set(found))])
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["item"], pa.int64()), pa.array(out["ranges"], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "item", "ranges"])
+        data, offs = tn.buffers(batch.column("text"))
+        for i, found in enumerate(batch.column("found").to_pylist()):
+            words = tn.Words(data[offs[i] : offs[i + 1]], offs[i : i + 2] - offs[i], tn.ALNUM_WORDS)
+            h, doc = words.hashes(), words.doc()
+            for n in sorted({x["span"] for x in found}):
+                start = around(np.array(sorted(x["pos"] for x in found if x["span"] == n), np.int64), doc, n)
+                if len(start):
+                    g = tn.grams(h, n)[start].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.full(len(start), i))), pa.array(np.full(len(start), n, np.int32)), pa.array(g), pa.array(start.astype(np.int32))], ["row", "span", "hash", "pos"])
 
 
 def _gathered(batches):
-    for batch in batches:
-        hit, items, ranges = [], [], []
-        for found in batch.column("found").to_pylist():
-            rows = sorted({(f["item"], x["a"], x["b"]) for f in found or [] for x in f["ranges"]})
-            hit.append(covered([(a, b) for _, a, b in rows]))
-            items.append(sorted({i for i, _, _ in rows}))
-            ranges.append([{"item": i, "a": a, "b": b} for i, a, b in rows])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.struct([("item", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "n_words", "n_hit", "items", "ranges"])
-
-
-def _counted(batches):
     for batch in batches:
         data, offs = tn.buffers(batch.column("text"))
-        n = np.zeros(len(offs) - 1, np.int64)
-        for a, b, d, o in tn.chunks(data, offs):
-            n[a:b] = np.diff(tn.Words(d, o, tn.ALNUM_WORDS).first)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n_words"])
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, share_limit: int = SHARE_LIMIT, share_bytes: int = SHARE_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, items (with occurring windows), ranges (item, word span).
-
-    The shuffle join takes doc_id as the document's identity; there, rows of one doc_id are one document.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    prints = stored(fingerprints(bench, "item_id", "text"), "bench-prints")
-    size = prints.agg(F.count("*").alias("n")).first()["n"]
-    volume = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size <= share_limit and volume <= share_bytes:
-        items = {r["item_id"]: item_words(r["text"]) for r in bench.toLocalIterator()}
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in prints.collect()], items))
-        return docs.mapInArrow(_scan(index), RESULT)
-    lengths = sorted(r["span"] for r in prints.select("span").distinct().collect())  # at most 13 values
-    found = fingerprints(docs, "doc_id", "text", lengths).alias("d").join(prints.alias("b"), ["span", "hash"])
-    hits = found.groupBy(F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id")).agg(F.collect_set(F.struct(F.col("d.pos").alias("p"), F.col("b.pos").alias("q"))).alias("hits"))
-    pairs = hits.join(docs, "doc_id").join(bench.select("item_id", F.col("text").alias("item_text")), "item_id")
-    checked = pairs.select("doc_id", "item_id", "text", "item_text", "hits").mapInArrow(_pairs_verified, "doc_id long, item long, ranges array<struct<a:int,b:int>>")
-    each = checked.groupBy("doc_id").agg(F.collect_list(F.struct("item", "ranges")).alias("found"))
-    return docs.mapInArrow(_counted, "doc_id long, n_words long").join(each, "doc_id", "left").mapInArrow(_gathered, RESULT)
+        places, items = batch.column("places"), batch.column("items").to_pylist()
+        for i in range(batch.num_rows):
+            words = tn.Words(data[offs[i] : offs[i + 1]], offs[i : i + 2] - offs[i], tn.ALNUM_WORDS)
+            at = [(x["pos"], x["span"]) for x in places[i].as_py() or []]
+            start = np.array([p for p, _ in at], np.int64)
+            yield _result(batch, i, i + 1, words, covered(start, start + np.array([n for _, n in at], np.int64), len(words)), [sorted(items[i] or [])])
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, share_limit: int = SHARE_LIMIT) -> DataFrame:
+    """One row for each document: row (its number), doc_id, n_words, n_hit, items (with occurring windows), ranges (runs of hit words)."""
+    docs = numbered(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row", "doc_id", "text")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
+    prints = stored(bench.mapInArrow(_hashed(None, "prints"), HASHED).select("span", "hash").distinct(), "bench-prints")
+    wins = stored(bench.mapInArrow(_hashed(None, "windows"), HASHED).select("id", "span", "hash").distinct(), "bench-windows")
+    if wins.count() <= share_limit:
+        return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(Index(prints.toArrow(), wins.toArrow()))), RESULT)
+    lengths = sorted(r["span"] for r in wins.select("span").distinct().collect())  # at most 13 values
+    own = docs.select(F.col("row").alias("id"), "text").mapInArrow(_hashed(lengths, "prints"), HASHED).withColumnRenamed("id", "row")
+    hits = own.join(prints, ["span", "hash"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("span", "pos")).alias("found"))
+    near = stored(docs.select("row", "text").join(hits, "row").mapInArrow(_candidates, "row long, span int, hash long, pos int"), "bench-near")
+    places = near.join(wins.select("span", "hash").distinct(), ["span", "hash"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("pos", "span")).alias("places"))
+    named = near.select("row", "span", "hash").distinct().join(wins.filter("id is not null"), ["span", "hash"]).groupBy("row").agg(F.collect_set("id").alias("items"))
+    return docs.join(places, "row", "left").join(named, "row", "left").mapInArrow(_gathered, RESULT)
+
+
+def too_much():
+    """The contract's rule: a twentieth of the words or more."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def verdict(found: DataFrame) -> DataFrame:
     """The contract's columns from ``contamination``'s rows."""
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), too_much().alias("contaminated"))
 
 
-def digest(*parts: str) -> str:
-    return hashlib.sha256(",".join(parts).encode()).hexdigest()
+def decontaminated(documents: DataFrame, benchmark: DataFrame, share_limit: int = SHARE_LIMIT, removed_limit: int = REMOVED_LIMIT) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns."""
+    with Scratch(documents.sparkSession) as scratch:
+        gone = scratch.keep(stored(contamination(documents, benchmark, share_limit).filter(too_much()).select("row"), "bench-gone"))
+        small = gone.count() <= removed_limit
+    whole = numbered(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")))
+    kept = whole.join(F.broadcast(gone) if small else gone, "row", "left_anti")
+    return kept.select(*[F.col(f"own.`{c}`").alias(c) for c in documents.columns])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -80,15 +80,40 @@ def test_rules(docs, none):
     assert shared == {(r.doc_id, r._q.kept) for r in rules.assess(docs, share_limit=0).collect()}
 
 
-def test_winnowing_paths_agree(spark, docs, none):
-    bench = spark.createDataFrame([(1, " ".join(words(BASE)[20:50])), (2, " ".join(words(text(3, 3)))), (3, None), (4, "spam " * 13), (4, "spam " * 13)], "item_id long, text string")
-    found = winnowing.verdict(winnowing.contamination(docs.dropDuplicates(["doc_id"]), bench))
-    other = winnowing.verdict(winnowing.contamination(docs.dropDuplicates(["doc_id"]), bench, share_limit=0))
-    rows = {r.doc_id: r for r in found.collect()}
-    assert sorted(map(str, rows.values())) == sorted(map(str, other.collect()))
-    assert rows[1].n_hit == 30 and rows[1].contaminated and rows[4].n_hit == 30 and rows[5].n_words == 0 and not rows[5].contaminated
-    assert rows[7].n_hit == 3 and rows[9].n_hit == 3000 and rows[9].items_sha256 == hashlib.sha256(b"4").hexdigest()
-    assert winnowing.contamination(none, bench).count() == 0
+def brute_contamination(rows, bench):
+    """(doc_id, n_words, n_hit, item ids) of every row, from strings alone."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for d, t in rows:
+        w, hit, items = split(t), set(), set()
+        for item, text_of in bench:
+            b = split(text_of)
+            n = min(13, len(b))
+            grams = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
+            places = [i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams] if n else []
+            hit |= {i + j for i in places for j in range(n)}
+            items |= {item} if places and item is not None else set()
+        out.append((d, len(w), len(hit), sorted(items)))
+    return sorted(out, key=str)
+
+
+def test_winnowing_equals_brute_force_in_both_ways(spark, docs, none):
+    """Nulls, repeated rows and ids, runs of one word on both sides, items of less than a window, items without an id."""
+    items = [(1, " ".join(words(BASE)[20:50])), (1, text(2, 40)), (2, " ".join(words(text(3, 3)))), (3, None), (4, "spam " * 40), (4, "spam " * 13), (None, text(4, 60)), (5, "Spam"), (6, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")]
+    rows = [(r[0], r[1]) for r in ROWS] + [(None, BASE), (None, "spam spam"), (None, None), (9, BASE + " " + "spam " * 15)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, row string, own long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = brute_contamination(rows, items)
+    for limit in (10**6, 0):
+        found = winnowing.contamination(df, bench, share_limit=limit).collect()
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found], key=str) == expected
+        assert all(sum(x.b - x.a for x in r.ranges) == r.n_hit for r in found)
+        kept = winnowing.decontaminated(df, bench, share_limit=limit, removed_limit=limit)
+        assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, n, hit, _ in expected if not (hit and 20 * hit >= n))
+        assert winnowing.contamination(none, bench, share_limit=limit).count() == 0
+    named = {r.doc_id: r for r in winnowing.verdict(winnowing.contamination(docs, bench)).collect()}
+    assert named[9].items_sha256 == hashlib.sha256(b"4,5").hexdigest() and named[5].n_words == 0 and not named[5].contaminated
+    assert not any(r.n_hit for r in winnowing.contamination(docs, bench.limit(0)).collect())
 
 
 def test_bpe_matches_the_library(docs):

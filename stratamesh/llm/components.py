@@ -98,20 +98,23 @@ def verified_links(
     condition: Callable[[str, str], Column] | None = None,
     small: int = SMALL,
     rounds: int = ROUNDS,
+    read: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Edges (a, b) whose components are those of all links: pairs of items of one key whose token sets are similar.
 
     members: key, item (long), weight (long; the least leads its group), each (key, item) once. features: takes the items (item) that share a key
     with another and returns (item, tokens array<long>), once for each. ``condition`` takes the two beginnings of the names of ``attributes``' columns (item and others)
-    and rules out pairs before they are verified.
+    and rules out pairs before they are verified. ``read`` is called when members won't be read any more.
     """
     with Scratch(members.sparkSession) as scratch:
-        return scratch.keep(_linked(members, features, percent, attributes, condition, small, rounds))
+        return scratch.keep(_linked(members, features, percent, attributes, condition, small, rounds, read))
 
 
-def _linked(members, features, percent, attributes, condition, small, rounds) -> DataFrame:
+def _linked(members, features, percent, attributes, condition, small, rounds, read) -> DataFrame:
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "group-sizes")
     inside = stored(members.join(F.broadcast(sizes) if sizes.count() <= SHARE_KEYS else sizes, "key"), "group-members")
+    if read is not None:
+        read()
     tokens = stored(features(stored(inside.select("item").distinct(), "group-items")).select("item", F.size("tokens").alias("n"), *parity("tokens"), "tokens"), "group-tokens")
     light = tokens.drop("tokens")
     if attributes is not None:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected, join_hot, verified_links
-from .storage import Scratch, numbered, stored
+from .storage import Scratch, delete, numbered, stored
 
 PERCENT, SHINGLE = 80, 5
 #: 2**REGION_BITS marks, bands of BAND hashes; shingles of ANCHORED characters at word starts.
@@ -54,14 +54,21 @@ def signed(rows: DataFrame) -> DataFrame:
     few = (F.size("hashes") < ANCHORS) | (F.length("folded") > SPREAD * F.size("hashes"))
     every = F.transform(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
     df = _let(df, "_a", F.when(few, F.sort_array(F.array_distinct(every))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    df = _let(_let(df, "_r", F.expr(f"concat(_s, slice(_s, 1, {BAND - 1}))")), "_b", F.expr(f"concat(_a, slice(_a, 1, {BAND - 1}))"))
     shift = 64 - REGION_BITS
 
-    def bands(s: str) -> str:
-        starts = f"filter(sequence(0, size({s}) - 1), i -> i = 0 or shiftright({s}[i], {shift}) <> shiftright({s}[i - 1], {shift}))"
-        band = lambda n: f"transform({starts}, i -> xxhash64({n}, {', '.join(f'{s}[(i + {j}) % size({s})]' for j in range(n))}))"
+    def bands(s: str, r: str) -> str:
+        """s: sorted hashes; r: the same with the first ones again at its end."""
+        band = lambda n: f"filter(transform({s}, (x, i) -> case when i = 0 or shiftright(x, {shift}) <> shiftright({r}[i - 1], {shift}) then xxhash64({n}, x, {', '.join(f'coalesce(get({r}, i + {j}), x)' for j in range(1, n))}) end), x -> x is not null)"
         return f"case when size({s}) = 0 then cast(array() as array<bigint>) when size({s}) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
 
-    return df.withColumn("keys", F.expr(f"array_distinct(concat({bands('_s')}, {bands('_a')}))")).drop("folded", "hashes", "_s", "_a")
+    return df.withColumn("keys", F.expr(f"array_distinct(concat({bands('_s', '_r')}, {bands('_a', '_b')}))")).drop("folded", "hashes", "_s", "_a", "_r", "_b")
+
+
+def shingles(folded: str) -> Column:
+    """The hashes of a line's distinct shingles; a shorter line is one."""
+    grams = F.when(F.length(folded) < SHINGLE, F.array(folded)).otherwise(F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    return F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))
 
 
 def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -72,24 +79,26 @@ def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _repeated(documents: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     rows = numbered(documents.select("doc_id", "text"))
+    spark = documents.sparkSession
     each = stored(signed(lines(rows)), "lines")
-    found = each.drop("keys")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
-    classes = stored(each.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "line-classes")
-    members = classes.select(F.explode("keys").alias("key"), F.col("line").alias("item"), F.lit(0).cast("long").alias("weight"))
+    keys = stored(each.groupBy("line").agg(F.first("keys").alias("keys")), "line-keys")
+    found = stored(each.drop("keys"), "line-places")
+    delete(spark, each._stored_path)
+    classes = stored(found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-classes")
+    members = keys.select(F.explode("keys").alias("key"), F.col("line").alias("item"), F.lit(0).cast("long").alias("weight"))
 
     def features(items: DataFrame) -> DataFrame:
         few = items.select(F.col("item").alias("line"))
         texts = lines(rows).select("line", "folded").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "line", "left_semi")
         texts = texts.groupBy("line").agg(F.first("folded").alias("folded"))
-        grams = F.when(F.length("folded") < SHINGLE, F.array("folded")).otherwise(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-        return texts.select(F.col("line").alias("item"), F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x))).alias("tokens"))
+        return texts.select(F.col("line").alias("item"), shingles("folded").alias("tokens"))
 
-    labels = connected(verified_links(members, features, percent))
+    labels = connected(verified_links(members, features, percent, read=lambda: delete(spark, keys._stored_path)))
     named = classes.join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     named = stored(named.join(groups, "component").select("line", "copies", "keep"), "line-named")
-    scratch.keep(each)
+    scratch.keep(found)
     scratch.keep(named)
     out = join_hot(found, named, "line", "copies", found.count()).filter("keep is not null")
     stays = (F.col("row") == F.col("keep.row")) & (F.col("line_no") == F.col("keep.line_no"))

@@ -83,6 +83,11 @@ def parity(tokens: str) -> list[Column]:
     return [F.expr(f"aggregate({tokens}, 0L, (a, x) -> case when (shiftright(x, 6) & {PARITY - 1}) = {i} then a ^ shiftleft(1L, cast(x & 63 as int)) else a end)").alias(f"p{i}") for i in range(PARITY)]
 
 
+def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once for each row."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def may_link(x: str, y: str, percent: int) -> Column:
     """Whether sizes (n) and parity bits (p0, p1 ...) of two rows leave room for a link; x and y: what their columns' names begin with."""
     near = f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
@@ -99,23 +104,27 @@ def verified_links(
     small: int = SMALL,
     rounds: int = ROUNDS,
     read: Callable[[], None] | None = None,
+    sets: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Edges (a, b) whose components are those of all links: pairs of items of one key whose token sets are similar.
 
     members: key, item (long), weight (long; the least leads its group), each (key, item) once. features: takes the items (item) that share a key
     with another and returns (item, tokens array<long>), once for each. ``condition`` takes the two beginnings of the names of ``attributes``' columns (item and others)
     and rules out pairs before they are verified. ``read`` is called when members won't be read any more.
+    With ``sets`` the features are (item, tokens) with tokens of any type that is smaller to move, and ``sets`` makes the array from a column's name.
     """
     with Scratch(members.sparkSession) as scratch:
-        return scratch.keep(_linked(members, features, percent, attributes, condition, small, rounds, read))
+        return scratch.keep(_linked(members, features, percent, attributes, condition, small, rounds, read, sets))
 
 
-def _linked(members, features, percent, attributes, condition, small, rounds, read) -> DataFrame:
+def _linked(members, features, percent, attributes, condition, small, rounds, read, sets) -> DataFrame:
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "group-sizes")
     inside = stored(members.join(F.broadcast(sizes) if sizes.count() <= SHARE_KEYS else sizes, "key"), "group-members")
     if read is not None:
         read()
-    tokens = stored(features(stored(inside.select("item").distinct(), "group-items")).select("item", F.size("tokens").alias("n"), *parity("tokens"), "tokens"), "group-tokens")
+    tokens = features(stored(inside.select("item").distinct(), "group-items"))
+    tokens = _let(tokens, "set", sets("tokens") if sets else F.col("tokens"))
+    tokens = stored(tokens.select("item", F.size("set").alias("n"), *parity("set"), "tokens"), "group-tokens")
     light = tokens.drop("tokens")
     if attributes is not None:
         light = stored(light.join(attributes, "item"), "group-light")
@@ -130,7 +139,11 @@ def _linked(members, features, percent, attributes, condition, small, rounds, re
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs that passed ``may``."""
         x, y = (tokens.select(F.col("item").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "s"), ("b", "t")))
-        return pairs.join(x, "a").join(y, "b").filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
+        both = pairs.join(x, "a").join(y, "b")
+        if sets:  # little to move, much to do for each pair: to as many tasks as there are
+            both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+            both = _let(_let(both, "x", sets("s")), "y", sets("t")).drop("s", "t").withColumnsRenamed({"x": "s", "y": "t"})
+        return both.filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
 
     def checked(pairs: DataFrame) -> DataFrame:
         return verify(with_light(with_light(pairs.distinct(), "a", "x_"), "b", "y_").filter(may("x_", "y_")).select("a", "b"))

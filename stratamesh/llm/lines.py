@@ -92,9 +92,10 @@ def _repeated(documents: DataFrame, percent: int, scratch: Scratch) -> DataFrame
         few = items.select(F.col("item").alias("line"))
         texts = lines(rows).select("line", "folded").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "line", "left_semi")
         texts = texts.groupBy("line").agg(F.first("folded").alias("folded"))
-        return texts.select(F.col("line").alias("item"), shingles("folded").alias("tokens"))
+        return texts.select(F.col("line").alias("item"), F.col("folded").alias("tokens"))
 
-    labels = connected(verified_links(members, features, percent, read=lambda: delete(spark, keys._stored_path)))
+    # texts are moved and not their shingles' hashes, which are eight times as large
+    labels = connected(verified_links(members, features, percent, sets=shingles, read=lambda: delete(spark, keys._stored_path)))
     named = classes.join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     named = stored(named.join(groups, "component").select("line", "copies", "keep"), "line-named")

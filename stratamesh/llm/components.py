@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch, delete, stored
 
-SMALL, LEADERS, ROUNDS = 6, 2, 4
+SMALL, LEADERS, ROUNDS = 6, 4, 6
 #: Members of a group that the left-over items are compared with in one block.
 BLOCK = 1_000
 #: Parity bits of an item, in words of 64.
-PARITY = 4
+PARITY = 16
 #: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
 SHARE_KEYS = 300_000
 MAX_ROUNDS = 60
@@ -78,9 +78,11 @@ def similar(x: Column, y: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(x) + F.size(y) - both)
 
 
-def parity(tokens: str) -> list[Column]:
-    """The parity bits of an array of hashes, in ``PARITY`` words; the lowest bits of a hash tell its bit."""
-    return [F.expr(f"aggregate({tokens}, 0L, (a, x) -> case when (shiftright(x, 6) & {PARITY - 1}) = {i} then a ^ shiftleft(1L, cast(x & 63 as int)) else a end)").alias(f"p{i}") for i in range(PARITY)]
+def sketched(sets: DataFrame) -> DataFrame:
+    """(item, n, p0, p1 ...) of (item, set): the size and the parity bits of each array of hashes; the lowest bits of a hash tell its bit."""
+    each = sets.select("item", F.explode("set").alias("x"))
+    word, bit = F.expr(f"shiftright(x, 6) & {PARITY - 1}"), F.expr("shiftleft(1L, cast(x & 63 as int))")
+    return each.groupBy("item").agg(F.count("*").cast("int").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY)])
 
 
 def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -122,12 +124,9 @@ def _linked(members, features, percent, attributes, condition, small, rounds, re
     inside = stored(members.join(F.broadcast(sizes) if sizes.count() <= SHARE_KEYS else sizes, "key"), "group-members")
     if read is not None:
         read()
-    tokens = features(stored(inside.select("item").distinct(), "group-items"))
-    tokens = _let(tokens, "set", sets("tokens") if sets else F.col("tokens"))
-    tokens = stored(tokens.select("item", F.size("set").alias("n"), *parity("set"), "tokens"), "group-tokens")
-    light = tokens.drop("tokens")
-    if attributes is not None:
-        light = stored(light.join(attributes, "item"), "group-light")
+    tokens = stored(features(stored(inside.select("item").distinct(), "group-items")).select("item", "tokens"), "group-tokens")
+    light = sketched(tokens.select("item", (sets("tokens") if sets else F.col("tokens")).alias("set")))
+    light = stored(light if attributes is None else light.join(attributes, "item"), "group-light")
     rest_of = [c for c in light.columns if c != "item"]
 
     def with_light(pairs: DataFrame, side: str, mark: str) -> DataFrame:

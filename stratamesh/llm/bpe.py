@@ -3,16 +3,18 @@
 ``compile_merges`` adds the merges one after another, each as a gadget on the automaton over token labels whose states
 are the last token read. The gadget for u v -> w (the r-th merge) takes the arc v away from state u from r on,
 adds an arc w wherever an arc u followed by v stood when r came, and gives the new state w the arcs that state v had
-then. So the arcs of a state follow from its chain of right parts, and those into a token from its chain of left
+then. So a gadget is four numbers: the two arcs' labels, the new state and r. The arcs of a state follow from its chain of right parts, and those into a token from its chain of left
 parts, each link valid until the next longer token absorbs it; ``Automaton.arc`` reads one entry of the transition
-table from the gadgets and keeps it. A sequence of tokens is the BPE encoding of its text exactly if the automaton
-has a path for it, and that path is unique: encoding runs over the symbols of a pre-split word, keeping for each place
-the only state a path can be in, and the labels along the path are the tokens. Decoding emits arc labels.
+table off the gadgets. Entries that were read are kept in a table of ``KEPT_ARCS`` at most, as the whole table would have two thousand million.
+
+A sequence of tokens is the BPE encoding of its text exactly if the automaton has a path for it, and that path is unique. A second
+table, ``step``, is a deterministic automaton over symbols that tells after each symbol the longest token that ends there; ``shorter`` tells the next one. Encoding takes one step for each symbol of a
+pre-split word and keeps for each place the only state a path can be in: that of the longest token with an arc from the state where it begins. The labels along the path are the tokens. Decoding emits arc labels.
 
 The pre-split follows the vocabulary file: canonical composition, white space folded, lower case, then contractions,
 letter runs, single digits and runs of the rest; special tokens split the raw text first.
 
-Null and empty texts give no tokens. Repeated rows are reported each; extra columns are ignored.
+Null and empty texts give no tokens. Every row is reported, also if it repeats or has no doc_id; texts may be of any length; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Words a task keeps with their encodings; beyond it the memory is cleared and filled anew.
 KEPT_WORDS = 400_000
+#: Entries of the transition table that a task keeps (about 100 bytes each).
+KEPT_ARCS = 1_000_000
 #: White space as the vocabulary's splitter has it, and its contractions.
 SPACE = r"\t-\r \x85\xa0  -     　"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -48,15 +52,13 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>"):
         self.vocab, self.end = vocab, end
         self.labels = {i: t for t, i in vocab.items()}
-        #: Rank of the merge of two tokens; parts and rank that made a token.
-        self.rank: dict[tuple[int, int], int] = {}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born: dict[int, int] = {}
+        n = max(vocab.values(), default=-1) + 1
+        #: The gadgets: when the arc of a pair goes; the parts and birth of each state (-1: a symbol).
+        self.gone: dict[tuple[int, int], int] = {}
+        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
         self.compile_merges(merges)
-        self.longest = max((len(self.symbols(t)) for t in vocab), default=1)
-        self.by_symbols = {self.symbols(t): i for t, i in vocab.items()}
         self.table: dict[tuple[int, int], bool] = {}
+        self.compile_symbols()
 
     def symbols(self, token: str) -> tuple[str, ...]:
         """A token as symbols: characters, the last one with the word-end mark if the token has it."""
@@ -65,24 +67,66 @@ class Automaton:
     def compile_merges(self, merges: list[tuple[str, str]]) -> None:
         for r, (u, v) in enumerate(merges):
             a, b, w = self.vocab[u], self.vocab[v], self.vocab[u + v]
-            self.rank.setdefault((a, b), r)
-            if w not in self.born:
+            self.gone.setdefault((a, b), r)
+            if self.born[w] < 0:
                 self.left[w], self.right[w], self.born[w] = a, b, r
 
+    def compile_symbols(self) -> None:
+        """Steps over symbols: a state for each beginning of a token, with failure links, the longest token that ends there and the next shorter one."""
+        self.step: list[dict[str, int]] = [{}]
+        ends = [-1]
+        self.size: dict[int, int] = {}
+        for token, i in self.vocab.items():
+            at, spelled = 0, self.symbols(token)
+            self.size[i] = len(spelled)
+            for c in spelled:
+                if c not in self.step[at]:
+                    self.step[at][c] = len(self.step)
+                    self.step.append({})
+                    ends.append(-1)
+                at = self.step[at][c]
+            ends[at] = i
+        self.fail, self.longest = [0] * len(self.step), list(ends)
+        self.shorter = [-1] * len(self.labels) if not self.vocab else [-1] * (max(self.vocab.values()) + 1)
+        level = list(self.step[0].values())
+        while level:
+            below = []
+            for at in level:
+                back = self.longest[self.fail[at]]
+                if ends[at] < 0:
+                    self.longest[at] = back
+                else:
+                    self.shorter[ends[at]] = back
+                for c, to in self.step[at].items():
+                    self.fail[to] = self.after(self.fail[at], c)
+                    below.append(to)
+            level = below
+
+    def after(self, at: int, symbol: str) -> int:
+        """The state that one symbol leads to."""
+        step, fail = self.step, self.fail
+        while symbol not in step[at]:
+            if at == 0:
+                return 0
+            at = fail[at]
+        return step[at][symbol]
+
     def arc(self, a: int, b: int) -> bool:
         """Whether state a has an arc labelled b: no gadget removed it while both ends stood there."""
         got = self.table.get((a, b))
         if got is None:
+            if len(self.table) >= KEPT_ARCS:
+                self.table.clear()
             got = self.table[a, b] = self._arc(a, b)
         return got
 
     def _arc(self, a: int, b: int) -> bool:
         limit = 1 << 60  # gadgets from here on came after one of the two had been absorbed
         while True:
-            r = self.rank.get((a, b))
+            r = self.gone.get((a, b))
             if r is not None and r < limit:
                 return False
-            x, y = self.born.get(a, -1), self.born.get(b, -1)
+            x, y = self.born[a], self.born[b]
             if x < 0 and y < 0:
                 return True
             if x >= y:  # state a was copied from its right part when it was born
@@ -91,20 +135,23 @@ class Automaton:
                 limit, b = min(limit, y + 1), self.left[b]
 
     def encode_symbols(self, word: list[str]) -> list[int]:
-        """The only path that spells ``word``."""
-        state, by, longest, arc = [-1] * (len(word) + 1), self.by_symbols, self.longest, self.arc
-        for i in range(1, len(word) + 1):
-            for size in range(min(i, longest), 0, -1):
-                token = by.get(tuple(word[i - size : i]))
-                if token is not None and (i == size or (state[i - size] >= 0 and arc(state[i - size], token))):
+        """The labels of the only path that spells ``word``."""
+        state, at, arc, size, longest, shorter = [-1] * (len(word) + 1), 0, self.arc, self.size, self.longest, self.shorter
+        for i, symbol in enumerate(word, 1):
+            at = self.after(at, symbol)
+            token = longest[at]
+            while token >= 0:
+                begin = i - size[token]
+                if begin == 0 or (state[begin] >= 0 and arc(state[begin], token)):
                     state[i] = token
                     break
+                token = shorter[token]
         out, i = [], len(word)
         while i > 0:
             if state[i] < 0:
                 raise ValueError("the vocabulary lacks a symbol")
             out.append(state[i])
-            i -= len(self.symbols(self.labels[state[i]]))
+            i -= size[state[i]]
         return out[::-1]
 
 
@@ -139,7 +186,7 @@ class Tokenizer:
         words = self.words
         if len(words) > KEPT_WORDS:
             words.clear()
-        if "<|" not in text or not self.special_re:
+        if not self.special_re or not self.special_re.search(text):
             return [words[p] for p in self.pieces(text)]
         out: list[tuple[int, str, str]] = []
         for part in self.special_re.split(text):

@@ -8,7 +8,7 @@ q25 - 3 (q75 - q25) - margin and q75 + 3 (q75 - q25) + margin, and take the plac
 Sketches hold the documents that pass the fixed base rules.
 
 Null texts have no words and fail the base rules; null languages and sources count as empty strings; repeated rows are judged each;
-an empty table gives no rows. ``assess`` keeps the input's columns and adds one struct column, so other columns' names don't matter.
+an empty table gives no rows. Texts may be of any length. The input's columns are kept in one struct, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ def repeated(df: DataFrame, words: str, name: str) -> DataFrame:
 
 
 def measured(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The documents' columns and a struct ``_q`` of counts and rates."""
-    own = F.coalesce(F.col(text), F.lit(""))
+    """A struct ``own`` of the documents' columns and a struct ``_q`` of counts and rates."""
+    documents = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"))
+    own = F.coalesce(F.col(f"own.`{text}`"), F.lit(""))
     df = let(documents, "_w", F.filter(F.split(own, f"[{SPACE}]+", -1), lambda x: x != ""))
     df = repeated(df, "_w", "_r")
     df = let(df, "_l", F.filter(F.split(own, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")))
@@ -128,16 +129,15 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return df.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.struct("low", "high"))).alias(k) for k in FENCES])
 
 
-def assess(documents: DataFrame, keep: list[str] | None = None, share_limit: int = SHARE_LIMIT) -> DataFrame:
-    """The documents' columns (or ``keep`` of them) and a struct ``_q``: the counts, base_failed, rates and kept.
+def assessed(documents: DataFrame, keep: list[str] | None = None, share_limit: int = SHARE_LIMIT) -> DataFrame:
+    """A struct ``own`` of the documents' columns (or ``keep`` of them) and a struct ``_q``: the counts, base_failed, rates and kept.
 
     Texts are measured once; the kept columns and the counts are stored for the verdicts, and never shuffled unless the thresholds are too many to share.
     """
-    q = measured(documents.select(*[F.col(f"`{c}`") for c in documents.columns]))
-    if keep is not None:
-        q = q.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "lang", "source"])], "_q")
-    q = stored(q, "rule-counts")
-    keyed = q.withColumns({"_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    q = measured(documents)
+    mine = [F.col(f"own.`{c}`").alias(c) for c in (documents.columns if keep is None else keep)]
+    name = lambda c: F.coalesce(F.col(f"own.`{c}`").cast("string"), F.lit("")).alias(f"_{c}")
+    keyed = stored(q.select(F.struct(*mine).alias("own"), name("lang"), name("source"), "_q"), "rule-counts")
     passing = keyed.select(F.col("_q.base_failed").alias("failed"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_q.rates").alias("rates")).filter("not failed")
     fences = stored(thresholds(sketches(passing)), "rule-fences").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*FENCES).alias("_f"))
     if fences.count() <= share_limit:
@@ -149,12 +149,17 @@ def assess(documents: DataFrame, keep: list[str] | None = None, share_limit: int
     for k in FENCES:
         v, f = F.col(f"_q.rates.{k}"), F.col(f"_f.{k}")
         inside = inside & F.coalesce(v >= f["low"], F.lit(True)) & F.coalesce(v <= f["high"], F.lit(True))
-    return joined.withColumn("_q", F.struct("_q.*", inside.alias("kept"))).drop("_lang", "_source", "_f")
+    return joined.select("own", F.struct("_q.*", inside.alias("kept")).alias("_q"))
+
+
+def assess(documents: DataFrame, keep: list[str] | None = None, share_limit: int = SHARE_LIMIT) -> DataFrame:
+    """``assessed`` with the documents' columns side by side, which may have any names but ``_q``."""
+    return assessed(documents, keep, share_limit).select("own.*", "_q")
 
 
 def filtered(documents: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return assess(documents).filter("_q.kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents that the rules keep, with their own columns, whatever their names."""
+    return assessed(documents).filter("_q.kept").select("own.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the blocks
 before and after it, and what encloses it: an article or main element, or an element that carries menus, headers,
 footers, sidebars, notices, adverts, forms or comments (by tag, role, class or id). A CART tree fitted on
-``LABELLED`` below, once for each session, says which blocks are main text.
+``LABELLED`` below, once for each session, says which blocks are main text. What encloses a block is one feature among the others: on pages that mark nothing,
+counts and neighbours decide, and they may overrule marks where the table says so.
 
-Null and empty html and pages without main text give an empty text. Truncated pages are read to their end; unclosed
-comments, scripts and tags swallow the rest. Repeated rows are reported each; extra columns are ignored.
+Null and empty html and pages without main text give an empty text. Elements without an end tag end where HTML ends them (a paragraph at the next block, an item at the next item or its
+list's end, a cell at the next cell); truncated pages are read to their end; unclosed
+comments, scripts and tags swallow the rest. Pages may be of any length. Repeated rows are reported each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +28,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags, roles and words of class or id that tell what an element carries.
 ASIDE_TAGS = frozenset("nav header footer aside form dialog menu search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies reply respond reader form search widget pagination pager toolbar copyright legal disclaimer skip".split())
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies reply respond form search widget pagination pager toolbar copyright legal disclaimer skip".split())
 MAIN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Fixed values of HTML: for a start tag, the open elements that it ends and those that it doesn't look beyond; elements whose inside end tags don't leave.
+_CELLS, _ROWS, _SECTIONS = frozenset(("td", "th")), frozenset(("td", "th", "tr")), frozenset(("td", "th", "tr", "tbody", "thead", "tfoot"))
+IMPLIED = {"li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "table"))), "dt": (frozenset(("dt", "dd")), frozenset(("dl", "table"))), "dd": (frozenset(("dt", "dd")), frozenset(("dl", "table")))}
+IMPLIED |= {"td": (_CELLS, frozenset(("tr", "table"))), "th": (_CELLS, frozenset(("tr", "table"))), "tr": (_ROWS, frozenset(("table",))), "tbody": (_SECTIONS, frozenset(("table",))), "thead": (_SECTIONS, frozenset(("table",))), "tfoot": (_SECTIONS, frozenset(("table",)))}
+SCOPE = frozenset("table td th caption html template".split())
+#: Block elements that may stand in a paragraph's place don't end it: those of tables and bodies.
+KEEPS_P = frozenset("body caption html tbody td tfoot th thead tr".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -64,12 +73,24 @@ LABELLED = [
     (0, 0, 0, 0, 2, 0, 30, 0, 0, 0, 0), (0, 0, 0, 0, 5, 0, 60, 0, 0, 0, 0), (0, 0, 0, 0, 3, 50, 45, 0, 0, 0, 0), (0, 0, 0, 0, 8, 0, 50, 0, 2, 100, 0),
     (0, 0, 0, 0, 4, 0, 2, 100, 35, 0, 0), (0, 0, 0, 0, 6, 45, 30, 0, 30, 0, 0), (0, 0, 0, 1, 3, 100, 40, 0, 30, 0, 0), (0, 0, 0, 1, 2, 0, 40, 0, 2, 100, 0),
     (0, 0, 0, 0, 6, 0, 4, 100, 0, 0, 0), (0, 0, 0, 1, 3, 0, 5, 100, 2, 100, 0), (0, 0, 0, 0, 2, 0, 5, 0, 3, 0, 0), (0, 0, 0, 0, 7, 0, 3, 0, 4, 0, 0),
+    # the first block of text after a menu
+    (0, 0, 0, 0, 40, 0, 2, 100, 40, 0, 1), (0, 0, 0, 0, 60, 0, 1, 100, 45, 0, 1), (0, 0, 0, 0, 28, 0, 3, 100, 50, 0, 1), (0, 0, 0, 0, 90, 4, 2, 100, 30, 0, 1), (0, 0, 0, 0, 35, 0, 2, 100, 2, 0, 1),
+    # lists of links inside an article: its neighbours tell them from a link in the text
+    (0, 1, 1, 0, 2, 100, 3, 100, 2, 100, 0), (0, 1, 1, 0, 1, 100, 40, 0, 2, 100, 0), (0, 1, 1, 0, 3, 100, 2, 100, 0, 0, 0), (0, 1, 1, 0, 2, 100, 2, 100, 60, 0, 0), (0, 1, 1, 0, 6, 100, 5, 100, 7, 100, 0), (0, 1, 1, 0, 1, 100, 1, 100, 1, 100, 0),
+    (0, 1, 1, 0, 4, 80, 3, 100, 3, 100, 0),
+    # blocks of real pages, one of each sort: beside the article, and in it
+    (1, 0, 1, 0, 1, 100, 0, 0, 1, 100, 0), (1, 0, 1, 0, 1, 100, 1, 100, 1, 100, 0), (1, 0, 1, 0, 1, 100, 1, 100, 8, 0, 0), (1, 0, 1, 0, 1, 100, 1, 100, 12, 0, 0), (1, 0, 1, 0, 5, 0, 1, 100, 2, 0, 0), (1, 0, 1, 0, 8, 0, 1, 100, 10, 0, 0),
+    (1, 0, 1, 0, 8, 0, 2, 0, 0, 0, 0), (1, 0, 1, 0, 9, 0, 1, 100, 12, 0, 0), (1, 0, 1, 0, 9, 0, 8, 0, 0, 0, 0), (1, 0, 1, 0, 11, 0, 25, 0, 0, 0, 0), (1, 0, 1, 0, 12, 0, 1, 100, 1, 0, 0), (1, 0, 1, 0, 12, 0, 1, 100, 11, 0, 0),
+    (1, 0, 1, 0, 12, 0, 1, 100, 12, 0, 0), (1, 0, 1, 0, 12, 0, 2, 0, 0, 0, 0), (1, 0, 1, 0, 13, 0, 64, 0, 0, 0, 0), (1, 0, 1, 0, 15, 0, 8, 0, 0, 0, 0),
+    (0, 1, 1, 0, 1, 0, 45, 0, 30, 0, 1), (0, 1, 1, 0, 2, 0, 2, 0, 8, 0, 1), (0, 1, 1, 0, 2, 0, 2, 0, 12, 0, 1), (0, 1, 1, 0, 2, 0, 47, 0, 1, 0, 1), (0, 1, 1, 0, 3, 0, 7, 0, 1, 0, 1), (0, 1, 1, 0, 3, 0, 7, 0, 9, 0, 1),
+    (0, 1, 1, 0, 3, 0, 8, 0, 38, 0, 1), (0, 1, 1, 0, 3, 0, 15, 0, 8, 0, 1), (0, 1, 1, 0, 6, 0, 6, 0, 10, 0, 1), (0, 1, 1, 0, 7, 0, 7, 0, 3, 0, 1), (0, 1, 1, 0, 8, 0, 3, 0, 10, 0, 1), (0, 1, 1, 0, 8, 0, 3, 0, 15, 0, 1),
+    (0, 1, 1, 0, 8, 0, 12, 0, 3, 0, 1), (0, 1, 1, 0, 8, 0, 51, 0, 11, 0, 1), (0, 1, 1, 0, 9, 0, 12, 0, 39, 0, 1), (0, 1, 1, 0, 11, 0, 8, 0, 36, 0, 1), (0, 1, 1, 0, 12, 0, 9, 0, 9, 0, 1), (0, 1, 1, 0, 15, 0, 1, 0, 3, 0, 1),
+    (0, 1, 1, 0, 17, 0, 8, 0, 2, 0, 1), (0, 1, 1, 0, 21, 0, 131, 0, 3, 0, 1), (0, 1, 1, 0, 25, 0, 52, 0, 11, 0, 1), (0, 1, 1, 0, 30, 0, 1, 0, 37, 0, 1), (0, 1, 1, 0, 32, 0, 36, 0, 52, 0, 1), (0, 1, 1, 0, 36, 0, 11, 0, 32, 0, 1),
+    (0, 1, 1, 0, 37, 0, 1, 0, 9, 0, 1), (0, 1, 1, 0, 45, 0, 8, 0, 1, 0, 1), (0, 1, 1, 0, 47, 0, 37, 0, 2, 0, 1), (0, 1, 1, 0, 51, 0, 10, 0, 8, 0, 1), (0, 1, 1, 0, 52, 0, 32, 0, 25, 0, 1), (0, 1, 1, 0, 57, 0, 65, 0, 5, 0, 1),
+    (0, 1, 1, 0, 72, 0, 9, 0, 16, 0, 1), (0, 1, 1, 0, 76, 0, 1, 0, 10, 0, 1), (0, 1, 1, 0, 82, 0, 3, 0, 108, 0, 1), (0, 1, 1, 1, 1, 0, 12, 0, 1, 0, 1), (0, 1, 1, 1, 2, 0, 5, 0, 2, 0, 1), (0, 1, 1, 1, 6, 0, 8, 0, 9, 0, 1),
+    (0, 1, 1, 1, 6, 0, 12, 0, 6, 0, 1), (0, 1, 1, 1, 10, 0, 8, 0, 51, 0, 1), (0, 1, 1, 1, 11, 0, 12, 0, 149, 0, 1), (0, 1, 1, 1, 12, 0, 9, 0, 184, 0, 1), (0, 1, 1, 1, 12, 0, 12, 0, 184, 0, 1),
 ]
 
-#: What encloses a block decides whatever its counts and neighbours are: (aside, main, page_has_main, label) over a grid of counts.
-LABELLED += [(aside, main, page, int(words < 9), words, links, near, far, near, 100 - far, label) for aside, main, page, label in ((0, 1, 1, 1), (1, 0, 1, 0), (1, 1, 1, 0), (1, 0, 0, 0), (0, 0, 1, 0)) for words in (1, 6, 20, 90) for links in (0, 60) for near in (0, 3, 50) for far in (0, 100)]
-
-
 def fit(rows=LABELLED, depth: int = 12):
     """A CART tree by Gini impurity: (feature, threshold, below, above) or a label."""
     labels = [r[-1] for r in rows]
@@ -123,26 +144,45 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The flat blocks of a page, in order; text that is never shown is left out."""
+    """The flat blocks of a page, in order; text that is never shown is left out. Elements end where HTML says so, with or without an end tag."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # containers: name, aside, main, skipped
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, aside, main, skipped
+    open_marks = [0, 0, 0]  # how many of them are asides, main, skipped
     text: list[str] = []
     linked: list[str] = []
-    anchor, heading, at, skipped = 0, False, 0, 0
+    anchor, heading, at = 0, False, 0
 
     def flush():
         if text:
             plain = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
             if plain:
-                out.append(Block(plain, htmllib.unescape(" ".join(linked)), any(s[1] for s in stack), any(s[2] for s in stack), heading))
+                out.append(Block(plain, htmllib.unescape(" ".join(linked)), open_marks[0] > 0, open_marks[1] > 0, heading))
             text.clear()
             linked.clear()
 
+    def close(i: int):
+        """End the open elements from the i-th on."""
+        if any(s[1] or s[2] or s[3] for s in stack[i:]):
+            flush()  # what follows isn't enclosed by them
+            for s in stack[i:]:
+                for j in range(3):
+                    open_marks[j] -= s[j + 1]
+        del stack[i:]
+
+    def find(names, border) -> int:
+        """The innermost open element with one of the names, not looked for beyond a border (-1: none)."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                return i
+            if stack[i][0] in border:
+                break
+        return -1
+
     end = len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         begin = m.start() if m else end
-        if begin > at and not skipped:
+        if begin > at and not open_marks[2]:
             text.append(page[at:begin])
             if anchor:
                 linked.append(page[at:begin])
@@ -158,13 +198,10 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 flush()
                 heading = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in BLOCK and not skipped and (stack[i][1] or stack[i][2]):
-                        flush()
-                    skipped -= sum(s[3] for s in stack[i:])
-                    del stack[i:]
-                    break
+            # an end tag ends what is open inside its element; one of an inline element doesn't end blocks
+            i = find((name,), SCOPE if name in BLOCK else BLOCK)
+            if i >= 0:
+                close(i)
             continue
         if name == "a":
             anchor = 1
@@ -173,22 +210,26 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             heading = name in HEADINGS
+            if name not in KEEPS_P and (i := find(("p",), SCOPE)) >= 0:
+                close(i)
+            if name in IMPLIED:
+                inner, border = IMPLIED[name]
+                while (i := find(inner, border)) >= 0:
+                    close(i)
         if name in VOID or m[3].endswith("/"):
             continue
-        aside, main, hidden = _marks(name, m[3], any(s[2] for s in stack))
+        aside, main, hidden = _marks(name, m[3], open_marks[1] > 0)
         gone = hidden or name in SKIPPED
         if name in RAW:  # to its end tag, whatever stands between
-            close = re.compile(rf"</{name}[^a-zA-Z0-9]", re.I).search(page, at)
-            at = page.find(">", close.start()) + 1 if close else end
+            shut = re.compile(rf"</{name}[^a-zA-Z0-9]", re.I).search(page, at)
+            at = page.find(">", shut.start()) + 1 if shut else end
             at = at or end
             continue
-        if aside or main or gone:
-            if name not in BLOCK and not skipped:
-                flush()
-            stack.append((name, aside, main, gone))
-            skipped += gone
-        elif stack and any(s[0] == name for s in stack):
-            stack.append((name, False, False, False))  # so that its end tag doesn't close an outer one
+        if (aside or main or gone) and name not in BLOCK and not open_marks[2]:
+            flush()
+        stack.append((name, aside, main, gone))
+        for j, mark in enumerate((aside, main, gone)):
+            open_marks[j] += mark
     flush()
     return out
 

@@ -94,6 +94,10 @@ def tan(x):
     return _call("tan", F.tan, x)
 
 
+def acos(x):
+    return _call("acos", F.acos, x)
+
+
 def power(x, y):
     return _call("pow", F.pow, x, y)
 
@@ -182,7 +186,7 @@ def bxor(x, y):
 
 
 def bit_count(x):
-    return _call("bit_count", F.bit_count, x)
+    return Sql(f"CAST(bit_count({text(x)}) AS INTEGER)") if _is_sql(x) else F.bit_count(x)
 
 
 def div(x, n):

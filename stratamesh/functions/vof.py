@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .algebra import absolute, greatest, least, power, sqrt, where
+from .algebra import absolute, acos, cos, greatest, least, power, sqrt, where
 
 TINY = 1e-12
 
@@ -59,15 +59,33 @@ def line_for_area(P, normal, area):
     return P.let(where(area > 0.5, -low, low))
 
 
-def plane_for_volume(P, normal, volume, rounds: int = 50):
-    """The inverse of ``volume_below`` by bisection on its monotone volume (``rounds`` halvings)."""
-    low = P.let((absolute(normal[0]) + absolute(normal[1]) + absolute(normal[2])) * -0.5)
-    high = P.let(-low)
-    for _ in range(rounds):
-        middle = P.let((low + high) * 0.5)
-        less = P.let(volume_below(P, normal, middle) < volume)
-        low, high = P.let(where(less, middle, low)), P.let(where(less, high, middle))
-    return P.let((low + high) * 0.5)
+def plane_for_volume(P, normal, volume):
+    """The inverse of ``volume_below`` for 0 < volume < 1, in closed form: in the smaller part the plane cuts off a tetrahedron, then takes on one and two corners more, or becomes a slab.
+
+    The cubic equations are solved by angles (Scardovelli and Zaleski, Journal of Computational Physics 164, 2000).
+    """
+    parts = [P.let(absolute(n)) for n in normal]
+    total = P.let(parts[0] + parts[1] + parts[2])
+    unit = [P.let(p / where(total > TINY, total, 1.0)) for p in parts]
+    b1, b3 = P.let(least(*unit)), P.let(greatest(*unit))
+    b2 = P.let(unit[0] + unit[1] + unit[2] - b1 - b3)
+    part, both, six = P.let(where(volume > 0.5, 1.0 - volume, volume)), P.let(b1 + b2), P.let(b1 * b2 * b3 * 6.0)
+    first = P.let(where(b2 * b3 > TINY, b1 * b1 / greatest(b2 * b3 * 6.0, TINY), 0.0))  # volume up to the nearest corner
+    second = P.let(first + (b2 - b1) * 0.5 / greatest(b3, TINY))
+    third = P.let(where(both < b3, both * 0.5 / greatest(b3, TINY), where(six > TINY, (b3 * b3 * (both * 3.0 - b3) + b1 * b1 * (b1 - b3 * 3.0) + b2 * b2 * (b2 - b3 * 3.0)) / greatest(six, TINY), second)))
+
+    def by_angle(p, q):
+        """sqrt(p) (sqrt(3) sin t - cos t) with cos 3t = q."""
+        c = P.let(cos(acos(clamp(q, -1.0, 1.0)) / 3.0))
+        return P.let(p * (sqrt(greatest(1.0 - c * c, 0.0) * 3.0) - c))
+
+    p12 = P.let(sqrt(b1 * b2 * 2.0))
+    two = by_angle(p12, (both - b3 * part * 2.0) * 3.0 / greatest(p12 * 4.0, TINY)) + both
+    p3 = P.let(greatest(b1 * both + b2 * b3 + b1 * b3 - b1 * b1 - 0.25, TINY))
+    three = by_angle(P.let(sqrt(p3)), b1 * b2 * b3 * (0.5 - part) * 1.5 / (p3 * sqrt(p3))) + 0.5
+    below = where(part < first, power(six * part, 1.0 / 3.0), where(part < second, (b1 + sqrt(greatest(b1 * b1 + b2 * b3 * (part - first) * 8.0, 0.0))) * 0.5, where(part < third, two, where(both < b3, b3 * part + both * 0.5, three))))
+    low = P.let(where(total > TINY, below * total - total * 0.5, 0.0))
+    return P.let(where(volume > 0.5, -low, low))
 
 
 def youngs(P, f, sizes):

@@ -22,9 +22,10 @@ def material_integrals(cells: DataFrame, cfg: Config, name: str) -> DataFrame:
     return cells.groupBy("mat").agg(F.sum(volume(cfg) * F.col(name)).alias(name))
 
 
-def relative_error(test: DataFrame, reference: DataFrame, cfg: Config, name: str, norm: str = "l1") -> DataFrame:
-    """Not weighted by volume; null where the reference is zero throughout."""
-    both = test.select("key", *cfg.axes, F.col(name).alias("a")).join(reference.select("key", *cfg.axes, F.col(name).alias("b")), ["key", *cfg.axes])
+def relative_error(test: DataFrame, reference: DataFrame, cfg: Config, name: str, norm: str = "l1", over: str | None = None) -> DataFrame:
+    """Not weighted by volume; null where the reference is zero throughout; with ``over`` of quotients by that column, each side's own."""
+    value = F.col(name) if over is None else F.col(name) / F.col(over)
+    both = test.select("key", *cfg.axes, value.alias("a")).join(reference.select("key", *cfg.axes, value.alias("b")), ["key", *cfg.axes])
     d = F.col("a") - F.col("b")
     if norm == "l1":
         return both.agg((F.sum(F.abs(d)) / F.nullif(F.sum(F.abs("b")), F.lit(0.0))).alias("error"))
@@ -71,9 +72,9 @@ def offsets(counts: DataFrame, group: Column, order: str, n: str) -> DataFrame:
 
 
 def reductions(df: DataFrame, column: str) -> DataFrame:
-    """One row of all the reductions that communicators offer, of an integer column."""
+    """One row of all the reductions that communicators offer, of an integer column; the product is that of the signs (-1 for odd values), which stays finite on any number of rows."""
     c = F.col(column)
-    return df.agg(F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("sum"), F.bit_or(c).alias("bor"), F.bit_and(c).alias("band"), F.bool_or(c != 0).alias("lor"), F.bool_and(c != 0).alias("land"), F.product((c % 3 + 1).cast("double")).alias("prod"))
+    return df.agg(F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("sum"), F.bit_or(c).alias("bor"), F.bit_and(c).alias("band"), F.bool_or(c != 0).alias("lor"), F.bool_and(c != 0).alias("land"), F.product(F.when(c % 2 == 0, 1.0).otherwise(-1.0)).alias("prod"))
 
 
 def binomials(spark, n: int) -> DataFrame:

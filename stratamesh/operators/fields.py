@@ -27,6 +27,25 @@ def with_neighbors(cells: DataFrame, leaves: DataFrame, cfg: Config, names: list
     return cells.join(wide.withColumnsRenamed(dict(zip(origin, cfg.axes, strict=True))), ["key", *cfg.axes])
 
 
+def with_steps(cells: DataFrame, leaves: DataFrame, cfg: Config, names: list[str], steps: list[tuple[int, ...]]) -> DataFrame:
+    """The cells with <name>_s<n>, the value one of ``steps`` away in any direction, diagonal ones too, by one lookup, fetch and aggregation."""
+    origin = [f"_{a}0" for a in cfg.axes]
+    moves = [F.struct(F.lit(n).alias("_step"), *[(F.col(a) + s).cast("int").alias(a) for a, s in zip(cfg.axes, step, strict=True)]) for n, step in enumerate(steps)]
+    probes = cells.select("key", *[F.col(a).alias(o) for a, o in zip(cfg.axes, origin, strict=True)], F.explode(F.array(*moves)).alias("_m")).select("key", *origin, "_m.*")
+    found = fetched(located(probes, leaves, cfg), cells, cfg, names)
+    wide = found.groupBy("key", *origin).agg(*[F.max(F.when(F.col("_step") == n, F.col(f"n_{v}"))).alias(f"{v}_s{n}") for n in range(len(steps)) for v in names])
+    return cells.join(wide.withColumnsRenamed(dict(zip(origin, cfg.axes, strict=True))), ["key", *cfg.axes])
+
+
+def linear_combination(cells: DataFrame, leaves: DataFrame, cfg: Config, name: str, axis: int, weights: list[float]) -> DataFrame:
+    """Weighted sums of 3 or 5 cells along an axis (weights from the left, the cell itself in the middle); neighbours count with their value at the cell's own level."""
+    reach = len(weights) // 2
+    steps = [tuple(r if k == axis else 0 for k in range(cfg.dim)) for r in range(-reach, reach + 1) if r]
+    rich = with_steps(cells, leaves, cfg, [name], steps)
+    terms = [F.col(f"{name}_s{n}") * w for n, w in enumerate([*weights[:reach], *weights[reach + 1 :]])]
+    return rich.select("key", *cfg.axes, (_total(terms) + F.col(name) * weights[reach]).alias(name))
+
+
 def dx(cfg: Config) -> Column:
     return cell_length(K.level(F.col("key"), cfg.dim), cfg.block[0], cfg.dim, cfg.scale)
 
@@ -130,6 +149,28 @@ def derivative(cells: DataFrame, cfg: Config, name: str, axis: int, points: int
     return out.select("key", *others, f"e.{along}", (F.col("e.d") / dx(cfg)).alias("derivative"))
 
 
+def _derivatives(cells: DataFrame, cfg: Config, names: list[str], points: int) -> DataFrame:
+    """The cells with d<axis>, the derivative of the axis' name along it."""
+    out = cells
+    for d, n in enumerate(names):
+        out = out.join(derivative(cells, cfg, n, d, points).withColumnRenamed("derivative", f"d{d}"), ["key", *cfg.axes])
+    return out
+
+
+def normalized_gradient(cells: DataFrame, cfg: Config, name: str, points: int = 5) -> DataFrame:
+    """The gradient within blocks over its norm; a norm under 1e-13 counts as 1."""
+    rich = _derivatives(cells.select("key", *cfg.axes, name), cfg, [name] * cfg.dim, points)
+    norm = F.sqrt(_total([F.col(f"d{d}") * F.col(f"d{d}") for d in range(cfg.dim)]))
+    norm = F.when(norm < 1e-13, 1.0).otherwise(norm)
+    return rich.select("key", *cfg.axes, *[(F.col(f"d{d}") / norm).alias(f"n{'xyz'[d]}") for d in range(cfg.dim)])
+
+
+def scaled_divergence(cells: DataFrame, cfg: Config, vector: list[str], factor: float = 1.0, points: int = 5) -> DataFrame:
+    """The divergence within blocks times a factor."""
+    rich = _derivatives(cells.select("key", *cfg.axes, *vector), cfg, vector, points)
+    return rich.select("key", *cfg.axes, (_total([F.col(f"d{d}") for d in range(cfg.dim)]) * factor).alias("divergence"))
+
+
 def smooth_interface(phi: Column, alpha: float = 0.1) -> Column:
     x, y = F.pow(phi, alpha), F.pow(1 - phi, alpha)
     return x / (x + y)

@@ -155,15 +155,33 @@ def nodes(leaves: DataFrame, cfg: Config) -> DataFrame:
     return leaves.select(F.explode(F.array(*points)).alias("p")).select("p.*").distinct()
 
 
+def brick_trees(brick: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The coordinates of a brick's trees in the order of their numbers: bits of the coordinates interleaved, an axis falling out where its bits end; codes outside the brick are skipped."""
+    bits = [(n - 1).bit_length() for n in brick]
+    ranked = sorted(range(len(brick)), key=lambda d: bits[d])
+
+    def code(at: tuple[int, ...]) -> int:
+        out = place = 0
+        for level in range(max(bits, default=0)):
+            for d in sorted(ranked):
+                if level < bits[d]:
+                    out |= (at[d] >> level & 1) << place
+                    place += 1
+        return out
+
+    return sorted(product(*[range(n) for n in brick]), key=code)
+
+
 def brick_connectivity(cfg: Config) -> list[tuple[int, int, int]]:
     """(tree, face, neighbouring tree) of a brick; a tree is its own neighbour at a border that isn't periodic."""
+    trees = brick_trees(cfg.brick[: cfg.dim])
+    number = {at: i for i, at in enumerate(trees)}
     out = []
-    for at in product(*[range(n) for n in cfg.brick]):
+    for tree, at in enumerate(trees):
         for face in range(2 * cfg.dim):
             d, step = face // 2, 1 if face & 1 else -1
             to = list(at)
             if 0 <= at[d] + step < cfg.brick[d] or cfg.periodic[d]:
                 to[d] = (at[d] + step) % cfg.brick[d]
-            flat = lambda c: sum(x * s for x, s in zip(c, [1, cfg.brick[0], cfg.brick[0] * (cfg.brick[1] if cfg.dim > 1 else 1)], strict=False))
-            out.append((flat(at), face, flat(to)))
+            out.append((tree, face, number[tuple(to)]))
     return out

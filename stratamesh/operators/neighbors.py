@@ -39,6 +39,42 @@ def leaf_neighbors(leaves: DataFrame, cfg: Config, directions=None) -> DataFrame
     return joined.select("key", *names, "target", status.cast("int").alias("status"), "leaf")
 
 
+def across_face(leaves: DataFrame, cfg: Config, face: int) -> DataFrame:
+    """(key, status, leaf): every leaf that touches one across a face, 2^(dim-1) of them where it is finer."""
+    d, step = face // 2, 1 if face & 1 else -1
+    key = F.col("key")
+    probes = leaves.select("key", K.neighbor(key, tuple(step if k == d else 0 for k in range(cfg.dim)), cfg.brick, cfg.periodic, cfg.dim).alias("target"))
+    facing = F.col("which").bitwiseAND(F.lit(1 << d)) == (0 if step > 0 else 1 << d)
+    found = probes.filter(~K.is_outside(F.col("target"), cfg.dim)).join(_build(leaves, cfg), (F.col("target") == F.col("at")) & ((F.col("status") != FINER) | facing))
+    return found.select("key", "status", "leaf")
+
+
+def forced_level(leaves: DataFrame, cfg: Config, direction: tuple[int, ...]) -> DataFrame:
+    """(key, coarser, finer): the keys one level above and below (the child that touches) in a direction, whether there are such leaves or not, and which of them are leaves."""
+    key = F.col("key")
+    target = K.neighbor(key, direction, cfg.brick, cfg.periodic, cfg.dim)
+    touch = sum(1 << a for a, s in enumerate(direction) if s < 0)
+    named = leaves.select("key", K.father(target, cfg.dim).alias("coarser"), K.child(target, touch, cfg.dim).alias("finer"))
+    known = lambda c: leaves.select(F.col("key").alias(c), F.lit(True).alias(f"has_{c}"))
+    out = named.join(known("coarser"), "coarser", "left").join(known("finer"), "finer", "left")
+    return out.select("key", "coarser", "finer", *[F.coalesce(f"has_{c}", F.lit(False)).alias(f"has_{c}") for c in ("coarser", "finer")])
+
+
+def presence_halo(presence: DataFrame, cfg: Config) -> DataFrame:
+    """(key, mask): the materials of a leaf and of all leaves around it, across faces, edges and corners; finer ones that touch it."""
+    leaves = presence.select("key")
+    key = F.col("key")
+    steps = [F.struct(K.neighbor(key, d, cfg.brick, cfg.periodic, cfg.dim).alias("target"), *[F.lit(s).alias(f"d{k}") for k, s in enumerate(d)]) for d in cfg.directions]
+    probes = leaves.select("key", F.explode(F.array(*steps)).alias("p")).select("key", "p.*").filter(~K.is_outside(F.col("target"), cfg.dim))
+    facing = F.lit(True)
+    for k in range(cfg.dim):  # a finer leaf counts if it lies on the near side along every axis of the direction
+        high = F.col("which").bitwiseAND(F.lit(1 << k)) != 0
+        facing = facing & ((F.col(f"d{k}") == 0) | ((F.col(f"d{k}") > 0) & ~high) | ((F.col(f"d{k}") < 0) & high))
+    near = probes.join(_build(leaves, cfg), (F.col("target") == F.col("at")) & ((F.col("status") != FINER) | facing)).select("key", "leaf")
+    every = near.unionByName(leaves.select("key", F.col("key").alias("leaf")))
+    return every.join(presence.select(F.col("key").alias("leaf"), "mask"), "leaf").groupBy("key").agg(F.bit_or("mask").alias("mask"))
+
+
 def conformal(leaves: DataFrame, cfg: Config, faces_only: bool = True) -> DataFrame:
     """One row for each leaf with a status column for each face (or each direction)."""
     directions = [d for d in cfg.directions if not faces_only or sum(map(abs, d)) == 1]

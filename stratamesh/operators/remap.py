@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.algebra import minmod
-from .fields import with_neighbors
+from .fields import with_neighbors, with_steps
 from .mesh import Config
 from .neighbors import COARSER, FINER, SAME, _build, fetched
 
@@ -43,37 +43,72 @@ def _sign(cfg: Config, axis: int) -> Column:
     return F.when(F.col(cfg.axes[axis]) % 2 == 0, -1.0).otherwise(1.0)
 
 
+#: Weights of the cells from left to right for a new cell in the left half of the middle one; the right half has them mirrored.
+INTERPOLATION = {"order_2": (1 / 8, 1.0, -1 / 8), "order_4": (-3 / 128, 11 / 64, 1.0, -11 / 64, 3 / 128)}
+
+
 def remapped(new: DataFrame, cells: DataFrame, old: DataFrame, cfg: Config, names: list[str], prolongation: str = "simple_copy") -> DataFrame:
     """Cell values on the new leaves.
 
     Same leaves keep theirs, coarsened ones take means; refined ones take the coarse cell's value (simple_copy), or add a quarter of its limited slopes along each axis
-    (linear_minmod), or an eighth of the central differences (order_2), or the five-point correction (order_4). All of them conserve the sum.
+    (linear_minmod), or interpolate along one axis after the other over 3 or 5 cells (order_2, order_4), which takes in the diagonal ones. All of them conserve the sum.
     """
     places = matched(new, old, cfg)
     if prolongation == "simple_copy":
         out = fetched(places, cells, cfg, names)
         return out.select("key", *cfg.axes, *[F.col(f"n_{n}").alias(n) for n in names])
-    carried = list(names)
-    reach = {"linear_minmod": (1,), "order_2": (1,), "order_4": (1, 2)}[prolongation]
-    rich = with_neighbors(cells, old, cfg, names, max(reach))
-    carried += [f"{n}_{side}{d}{r}" for n in names for d in range(cfg.dim) for r in range(1, max(reach) + 1) for side in "lr"]
-    got = fetched(places, rich, cfg, carried)
-
-    def value(n: str) -> Column:
-        base = F.col(f"n_{n}")
-        for d in range(cfg.dim):
-            left, right = F.col(f"n_{n}_l{d}1"), F.col(f"n_{n}_r{d}1")
-            if prolongation == "linear_minmod":
+    if prolongation == "linear_minmod":
+        rich = with_neighbors(cells, old, cfg, names, 1)
+        got = fetched(places, rich, cfg, [*names, *[f"{n}_{side}{d}1" for n in names for d in range(cfg.dim) for side in "lr"]])
+
+        def value(n: str) -> Column:
+            base = F.col(f"n_{n}")
+            for d in range(cfg.dim):
+                left, right = F.col(f"n_{n}_l{d}1"), F.col(f"n_{n}_r{d}1")
                 slope = minmod(minmod(F.col(f"n_{n}") - left, right - F.col(f"n_{n}")), (right - left) * 0.5)
                 base = base + F.when(F.col("relation") == COARSER, _sign(cfg, d) * slope * 0.25).otherwise(0.0)
-            elif prolongation == "order_2":
-                base = base + F.when(F.col("relation") == COARSER, _sign(cfg, d) * (right - left) * 0.125).otherwise(0.0)
-            else:
-                far_l, far_r = F.col(f"n_{n}_l{d}2"), F.col(f"n_{n}_r{d}2")
-                base = base + F.when(F.col("relation") == COARSER, _sign(cfg, d) * ((right - left) * (11.0 / 64.0) - (far_r - far_l) * (3.0 / 128.0))).otherwise(0.0)
-        return base
-
-    return got.select("key", *cfg.axes, *[value(n).alias(n) for n in names])
+            return base
+
+        return got.select("key", *cfg.axes, *[value(n).alias(n) for n in names])
+    weights = INTERPOLATION[prolongation]
+    reach = len(weights) // 2
+    steps = [s for s in product(range(-reach, reach + 1), repeat=cfg.dim) if any(s)]
+    rich = with_steps(cells, old, cfg, names, steps)
+    # the new cell's place in the coarse one chooses a set of weights: one weighted sum for each of the 2^dim places, fetched like a value
+    halves = list(product((0, 1), repeat=cfg.dim))
+
+    def combined(n: str, half: tuple[int, ...]) -> Column:
+        total = F.col(n) * 1.0
+        for k, step in enumerate(steps):
+            w = 1.0
+            for h, s in zip(half, step, strict=True):
+                w *= weights[reach - s if h else reach + s]
+            total = total + F.col(f"{n}_s{k}") * w
+        return total
+
+    rich = rich.select("key", *cfg.axes, *names, *[combined(n, h).alias(f"{n}_h{i}") for n in names for i, h in enumerate(halves)])
+    got = fetched(places, rich, cfg, [*names, *[f"{n}_h{i}" for n in names for i in range(len(halves))]])
+
+    def interpolated(n: str) -> Column:
+        out = F.col(f"n_{n}")
+        for i, half in enumerate(halves):
+            here = F.col("relation") == COARSER
+            for a, h in zip(cfg.axes, half, strict=True):
+                here = here & (F.col(a) % 2 == h)
+            out = F.when(here, F.col(f"n_{n}_h{i}")).otherwise(out)
+        return out
+
+    return got.select("key", *cfg.axes, *[interpolated(n).alias(n) for n in names])
+
+
+def material_remapped(new: DataFrame, cells: DataFrame, old: DataFrame, cfg: Config, name: str) -> DataFrame:
+    """Cell values by material (key, axes, mat, value) on the new leaves, by copies and means; a material that a cell doesn't have counts as 0 in a mean."""
+    places = matched(new, old, cfg)
+    half = [F.call_function("div", F.col(a), F.lit(2)).cast("int").alias(f"t{a}") for a in cfg.axes]
+    single = cells.select(F.col("key").alias("at"), F.lit(0).alias("fine"), *[F.col(a).cast("int").alias(f"t{a}") for a in cfg.axes], "mat", F.col(name).cast("double").alias(name))
+    means = cells.groupBy(F.col("key").alias("at"), *half, "mat").agg((F.sum(name) / (1 << cfg.dim)).alias(name)).withColumn("fine", F.lit(1))
+    found = places.join(single.unionByName(means.select(single.columns)), ["at", "fine", *[f"t{a}" for a in cfg.axes]])
+    return found.select("key", *cfg.axes, "mat", name)
 
 
 def presence_remapped(new: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame:
@@ -83,4 +118,4 @@ def presence_remapped(new: DataFrame, presence: DataFrame, cfg: Config) -> DataF
     return found.groupBy("key").agg(F.bit_or("mask").alias("mask"))
 
 
-__all__ = ["SAME", "lattice", "matched", "presence_remapped", "remapped"]
+__all__ = ["SAME", "lattice", "matched", "material_remapped", "presence_remapped", "remapped"]

@@ -191,7 +191,7 @@ def add_all(reg: Registry) -> None:
     plane("v_volume3d", lambda P: {"volume": rounded(V.volume_below(P, n3(P), P.col("al")))})
     plane("v_box", lambda P: {"area": rounded(V.box_below(P, n2(P), P.col("al"), [0.1, -0.2], [0.6, 0.5])), "volume": rounded(V.box_below(P, n3(P), P.col("al"), [0.1, -0.2, 0.0], [0.6, 0.5, 0.3]))})
     plane("v_line_2d", lambda P: {"alpha": rounded(V.line_for_area(P, n2(P), P.col("part")))}, {"part": "CAST(l_suppkey % 19 + 1 AS DOUBLE) / 20.0"})
-    plane("v_plane_3d", lambda P: {"alpha": rounded(V.plane_for_volume(P, n3(P), P.col("part"), 6), 4)}, {"part": "CAST(l_suppkey % 19 + 1 AS DOUBLE) / 20.0"})
+    plane("v_plane_3d", lambda P: (lambda a: {"alpha": rounded(a), "back": rounded(V.volume_below(P, n3(P), a))})(V.plane_for_volume(P, n3(P), P.col("part"))), {"part": "CAST(l_suppkey % 19 + 1 AS DOUBLE) / 20.0"})
     nine = {f"f{i}": f"CAST((l_orderkey * {i + 3} + l_partkey) % 11 AS DOUBLE) / 10.0" for i in range(27)}
     reg.formula("v_youngs2d", "lineitem", {k: v for k, v in nine.items() if int(k[1:]) < 9}, LINE, lambda P: {f"n{a}": rounded(c) for a, c in zip("xy", V.youngs(P, [P.col(f"f{i}") for i in range(9)], (0.5, 0.25)), strict=True)})
     reg.formula("v_youngs3d", "lineitem", nine, LINE, lambda P: {f"n{a}": rounded(c) for a, c in zip("xyz", V.youngs(P, [P.col(f"f{i}") for i in range(27)], (0.5, 0.25, 1.0)), strict=True)})

@@ -138,7 +138,7 @@ def add_all(reg: Registry) -> None:
         on_base(f"a_error_{norm}", lambda c, n=norm: A.relative_error(c.select("key", "i", "j", (F.col("q") + F.col("n")).alias("q")), c, CFG, "q", n).select(r6("error").alias("error")), f" SELECT {S6(sql)} AS error FROM l")
     on_base("a_conservativity", lambda c: A.conservation(c, c.withColumn("q", F.col("q") + F.col("n")), CFG, ["q", "n"]).select("name", *[r6(x).alias(x) for x in ("reference", "test", "absolute", "relative")]), f" SELECT name, {S6('r')} AS reference, {S6('t')} AS test, {S6('abs(t - r)')} AS absolute, {S6('abs(t - r) / abs(r)')} AS relative FROM (SELECT 'q' AS name, sum(q) / 4096 AS r, sum(q + n) / 4096 AS t FROM l UNION ALL SELECT 'n', sum(n) / 4096, sum(n) / 4096 FROM l)")
     on_mixed("a_min_dt", lambda lv, c: A.time_step(c, CFG, F.col("q") + 1.0, 0.5, 0.0, 1.0).select(r6(F.col("dt") * 1000).alias("dt")), f" SELECT {S6('least(min(1.0 / (4 * pow(2, level)) / (q + 1)) * 0.5, 1.0) * 1000')} AS dt FROM m")
-    reg.add("a_reductions", lambda spark, d: A.reductions(spark.read.parquet(f"{d}/part.parquet").filter("p_partkey <= 12"), "p_size").select("min", "max", "sum", "bor", "band", "lor", "land", "prod"), "SELECT min(p_size) AS min, max(p_size) AS max, CAST(sum(p_size) AS BIGINT) AS sum, bit_or(p_size) AS bor, bit_and(p_size) AS band, bool_or(p_size <> 0) AS lor, bool_and(p_size <> 0) AS land, product(p_size % 3 + 1) AS prod FROM part WHERE p_partkey <= 12")
+    reg.add("a_reductions", lambda spark, d: A.reductions(spark.read.parquet(f"{d}/part.parquet"), "p_size").select("min", "max", "sum", "bor", "band", "lor", "land", "prod"), "SELECT min(p_size) AS min, max(p_size) AS max, CAST(sum(p_size) AS BIGINT) AS sum, bit_or(p_size) AS bor, bit_and(p_size) AS band, bool_or(p_size <> 0) AS lor, bool_and(p_size <> 0) AS land, product(CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE -1.0 END) AS prod FROM part")
     reg.add("a_binomials", lambda spark, d: A.binomials(spark, 12), "SELECT CAST(n.range AS INTEGER) AS n, CAST(k.range AS INTEGER) AS k, CAST(round(factorial(CAST(n.range AS INTEGER)) / (factorial(CAST(k.range AS INTEGER)) * factorial(CAST(n.range - k.range AS INTEGER)))) AS BIGINT) AS value FROM range(13) n, range(13) k WHERE k.range <= n.range")
     reg.add("a_offsets", lambda spark, d: A.offsets(spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("n")), F.col("o_custkey"), "o_orderkey", "n"), 'SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n, CAST(coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM orders')
     sums = lambda c: c.groupBy("key").agg(F.sum("q").alias("q"))
@@ -170,7 +170,9 @@ def add_all(reg: Registry) -> None:
     on_base("m_partition_weighted", lambda c: placed_leaves(M.partitioned(c.groupBy("key").agg(F.sum("n").alias("weight")), 7), "weight", "part"), f"{weights} SELECT 4 AS level, lx, ly, w AS weight, CAST(least(floor(CAST(before * 7 AS DOUBLE) / greatest(whole, 1)), 6) AS INTEGER) AS part FROM o")
     on_base("m_partition", lambda c: placed_leaves(M.partitioned(c.select("key").distinct().withColumn("weight", F.lit(1).cast("long")), 7), "part"), f", b AS (SELECT DISTINCT gx // 4 AS lx, gy // 4 AS ly FROM l), o AS (SELECT lx, ly, row_number() OVER (ORDER BY {morton}) - 1 AS before FROM b) SELECT 4 AS level, lx, ly, CAST(floor(before * 7 / 256.0) AS INTEGER) AS part FROM o")
     on_mixed("m_nodes", lambda lv, c: M.nodes(lv, CFG), " SELECT DISTINCT CAST((lx + a.range) * pow(2, 22 - level) AS BIGINT) AS x, CAST((ly + c.range) * pow(2, 22 - level) AS BIGINT) AS y FROM leaves, range(2) a, range(2) c")
-    reg.add("g_brick_connectivity", lambda spark, d: spark.createDataFrame(M.brick_connectivity(M.Config(brick=(3, 2), periodic=(True, False))), "tree int, face int, to int"), "SELECT CAST(t.range AS INTEGER) AS tree, CAST(f.range AS INTEGER) AS face, CAST(CASE f.range WHEN 0 THEN t.range // 3 * 3 + (t.range % 3 + 2) % 3 WHEN 1 THEN t.range // 3 * 3 + (t.range + 1) % 3 WHEN 2 THEN CASE WHEN t.range >= 3 THEN t.range - 3 ELSE t.range END ELSE CASE WHEN t.range < 3 THEN t.range + 3 ELSE t.range END END AS INTEGER) AS \"to\" FROM range(6) t, range(4) f")
+    numbers = "t AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1), (4, 2, 0), (5, 2, 1)) v(tree, x, y))"
+    moved = "CASE f.range WHEN 0 THEN (x + 2) % 3 WHEN 1 THEN (x + 1) % 3 ELSE x END AS tx, CASE f.range WHEN 2 THEN greatest(y - 1, 0) WHEN 3 THEN least(y + 1, 1) ELSE y END AS ty"
+    reg.add("g_brick_connectivity", lambda spark, d: spark.createDataFrame(M.brick_connectivity(M.Config(brick=(3, 2), periodic=(True, False))), "tree int, face int, to int"), f'WITH {numbers}, s AS (SELECT tree, CAST(f.range AS INTEGER) AS face, {moved} FROM t, range(4) f) SELECT s.tree, face, t.tree AS "to" FROM s JOIN t ON t.x = tx AND t.y = ty')
 
     # Neighbours
     def status_sql(closed: bool) -> str:
@@ -243,7 +245,7 @@ LEFT JOIN leaves c ON c.level = p.level + 1 AND c.lx = 2 * tx + (dx < 0)::INT AN
     edge_sql = f", b AS (SELECT DISTINCT gx // 4 AS lx, gy // 4 AS ly FROM l), e0 AS (SELECT lx, ly, {mo} AS mo FROM b), ed AS (SELECT lx, ly, i.range AS i, j.range AS j, CAST((i.range * 3 + j.range * 5 + mo % 7) % 11 AS DOUBLE) AS v FROM e0, range(5) i, range(5) j)"
     on_base("d_curl", lambda c: placed(D.curl(edges(c), CFG), "dir", r6("v").alias("v")), f"{edge_sql} SELECT 4 AS level, a.lx * 4 + a.i AS cx, a.ly * 4 + a.j AS cy, 0 AS dir, {S6('(b.v - a.v) * 64')} AS v FROM ed a JOIN ed b ON a.lx = b.lx AND a.ly = b.ly AND a.i = b.i AND b.j = a.j + 1 UNION ALL SELECT 4, a.lx * 4 + a.i, a.ly * 4 + a.j, 1, {S6('(a.v - b.v) * 64')} FROM ed a JOIN ed b ON a.lx = b.lx AND a.ly = b.ly AND a.j = b.j AND b.i = a.i + 1")
     face = lambda c: edges(c).select("key", F.explode(F.array(F.struct(F.lit(0).alias("dir"), F.col("i"), F.col("j")), F.struct(F.lit(1).alias("dir"), F.col("i"), F.col("j")))).alias("f"), "v").select("key", "f.*", "v").filter("(dir = 0 and j < 4) or (dir = 1 and i < 4)")
-    on_base("d_face_div", lambda c: placed(D.face_divergence(face(c), CFG), r6("divergence").alias("divergence")), f"{edge_sql} SELECT 4 AS level, a.lx * 4 + a.i AS cx, a.ly * 4 + a.j AS cy, {S6('(x.v - a.v + y.v - a.v) * 64')} AS divergence FROM ed a JOIN ed x ON x.lx = a.lx AND x.ly = a.ly AND x.i = a.i + 1 AND x.j = a.j JOIN ed y ON y.lx = a.lx AND y.ly = a.ly AND y.j = a.j + 1 AND y.i = a.i WHERE a.i < 4 AND a.j < 4")
+    on_base("d_face_div", lambda c: placed(D.face_divergence(face(c), CFG), r6("divergence").alias("divergence")), f"{edge_sql}, w AS (SELECT *, lead(v) OVER (PARTITION BY lx, ly, j ORDER BY i) AS x, lead(v) OVER (PARTITION BY lx, ly, i ORDER BY j) AS y FROM ed) SELECT 4 AS level, lx * 4 + i AS cx, ly * 4 + j AS cy, {S6('(x - v + y - v) * 64')} AS divergence FROM w WHERE i < 4 AND j < 4")
     on_base("p_lincomb", lambda c: placed(D.combined(c, c.withColumn("q", F.col("n")), CFG, "q", 0.75, 0.25), r6("q").alias("q")), f" SELECT 4 AS level, gx AS cx, gy AS cy, {S6('0.75 * q + 0.25 * n')} AS q FROM l")
     state = lambda c: c.select("key", "i", "j", (F.col("n") + 1.0).alias("rho"), (F.col("q") + 10.0).alias("e_tot"), F.col("n").cast("double").alias("rho_vx"), (F.col("n") * 0.5).alias("rho_vy"))
     on_base("p_velocity", lambda c: placed(D.with_velocity(state(c), F.lit(0.5), F.lit(-0.25)), *[r6(x).alias(x) for x in ("e_tot", "rho_vx", "rho_vy")]), f" SELECT 4 AS level, gx AS cx, gy AS cy, {S6('q + 10.0 + (n + 1) * 0.3125 * 0.5 - (n * n + n * n * 0.25) / (n + 1) * 0.5')} AS e_tot, {S6('(n + 1) * 0.5')} AS rho_vx, {S6('(n + 1) * -0.25')} AS rho_vy FROM l")
@@ -255,13 +257,23 @@ LEFT JOIN leaves c ON c.level = p.level + 1 AND c.lx = 2 * tx + (dx < 0)::INT AN
     lm = ", m AS (SELECT 4 AS level, gx AS cx, gy AS cy, CAST(q AS DOUBLE) AS q FROM l)"
     on_base("r_copy", lambda c: remap(c, "simple_copy"), f" SELECT 5 AS level, 2 * gx + a.range AS cx, 2 * gy + c.range AS cy, {S6('q')} AS q FROM l, range(2) a, range(2) c")
     mm = lambda a, b: f"(CASE WHEN (m0.q - {a}.v) * ({b}.v - m0.q) <= 0 THEN 0 ELSE sign({b}.v - {a}.v) * least(abs(m0.q - {a}.v), abs({b}.v - m0.q), abs({b}.v - {a}.v) * 0.5) END)"
-    for kind, x, y in (("linear_minmod", f"0.25 * {mm('w', 'e')}", f"0.25 * {mm('s', 't')}"), ("order_2", "0.125 * (e.v - w.v)", "0.125 * (t.v - s.v)")):
-        on_base(f"r_{kind}", lambda c, k=kind: remap(c, k), f"{lm}, {sides()}, g AS ({joined(f'm0.q AS q, {x} AS x, {y} AS y')}) SELECT 5 AS level, 2 * cx + a.range AS cx, 2 * cy + c.range AS cy, {S6('q + (2 * a.range - 1) * x + (2 * c.range - 1) * y')} AS q FROM g, range(2) a, range(2) c")
-    o4 = lambda a, b, aa, bb: f"({b}.v - {a}.v) * (11.0 / 64) - ({bb}.v - {aa}.v) * (3.0 / 128)"
-    on_base("r_order_4", lambda c: remap(c, "order_4"), f"{lm}, {four}, g AS ({joined(f'm0.q AS q, {o4('w', 'e', 'ww', 'ee')} AS x, {o4('s', 't', 'ss', 'tt')} AS y')} {more}) SELECT 5 AS level, 2 * cx + a.range AS cx, 2 * cy + c.range AS cy, {S6('q + (2 * a.range - 1) * x + (2 * c.range - 1) * y')} AS q FROM g, range(2) a, range(2) c")
+    on_base("r_linear_minmod", lambda c: remap(c, "linear_minmod"), f"{lm}, {sides()}, g AS ({joined(f'm0.q AS q, 0.25 * {mm('w', 'e')} AS x, 0.25 * {mm('s', 't')} AS y')}) SELECT 5 AS level, 2 * cx + a.range AS cx, 2 * cy + c.range AS cy, {S6('q + (2 * a.range - 1) * x + (2 * c.range - 1) * y')} AS q FROM g, range(2) a, range(2) c")
+    for kind, left in (("order_2", {-1: "1.0 / 8", 0: "1.0", 1: "-1.0 / 8"}), ("order_4", {-2: "-3.0 / 128", -1: "11.0 / 64", 0: "1.0", 1: "-11.0 / 64", 2: "3.0 / 128"})):
+        weights = "w AS (SELECT * FROM (VALUES " + ", ".join(f"(0, {s}, {x}), (1, {-s}, {x})" for s, x in left.items()) + ") v(half, step, x))"
+        # one axis after the other over the periodic lattice
+        on_base(f"r_{kind}", lambda c, k=kind: remap(c, k), f", {weights}, a1 AS (SELECT (gx - step + 64) % 64 AS cx, gy, half AS hx, sum(CAST(q AS DOUBLE) * x) AS v FROM l, w GROUP BY 1, 2, 3), a2 AS (SELECT cx, hx, (gy - step + 64) % 64 AS cy, half AS hy, sum(v * x) AS v FROM a1, w GROUP BY 1, 2, 3, 4) SELECT 5 AS level, 2 * cx + hx AS cx, 2 * cy + hy AS cy, {S6('v')} AS q FROM a2")
     reg.add("r_restrict", lambda spark, d: (lambda lv, c: placed(R.remapped(M.uniform(spark, CFG, 4), c, lv, CFG, ["q"]), r6("q").alias("q")))(*mixed(spark, d)), f"WITH {MIXED} SELECT 4 AS level, cx, cy, {S6('q')} AS q FROM m WHERE level = 4 UNION ALL SELECT 4, cx // 2, cy // 2, {S6('avg(q)')} FROM m WHERE level = 5 GROUP BY 2, 3")
     masks = lambda c: c.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, cast(q % 50 as int))")).alias("mask"))
     reg.add("r_presence", lambda spark, d: placed_leaves(R.presence_remapped(M.uniform(spark, CFG, 3), masks(base(spark, d)), CFG), "mask"), f"WITH {LATTICE} SELECT 3 AS level, gx // 8 AS lx, gy // 8 AS ly, bit_or(CAST(1 AS BIGINT) << CAST(q % 50 AS BIGINT)) AS mask FROM l GROUP BY 2, 3")
-    on_mixed("h_ghost_cells", lambda lv, c: H.filled(c, lv, CFG, 1, ["q"]).filter("is_ghost").filter("i = -1 and j between 0 and 3").transform(lambda x: placed(x, r6("q").alias("q"))), f", {near('x', -1, 0)} SELECT level, cx - 1 AS cx, cy, {S6('v')} AS q FROM x WHERE cx % 4 = 0")
-    walled = lambda lv, c: H.filled(c, lv, CLOSED, 2, ["q"], {0: "wall"}, {0: "q"}).filter("is_ghost and i < 0 and j between 0 and 3")
-    on_base("h_bc_wall", lambda c: placed(walled(c.select("key").distinct(), c.select("key", "i", "j", "q")), r6("q").alias("q")).filter("cx < 0"), f" SELECT 4 AS level, -1 - gx AS cx, gy AS cy, {S6('-q')} AS q FROM l WHERE gx < 2")
+    def halo(width: int) -> str:
+        """Ghost places of each leaf."""
+        n = 4 + 2 * width
+        return f"g0 AS (SELECT level, lx, ly, CAST(i.range - {width} AS INTEGER) AS i, CAST(j.range - {width} AS INTEGER) AS j FROM leaves, range({n}) i, range({n}) j WHERE NOT (i.range BETWEEN {width} AND {width + 3} AND j.range BETWEEN {width} AND {width + 3}))"
+
+    span = "(CAST(pow(2, level) AS BIGINT) * 4)"
+    ghosts = f", {halo(1)}, g AS (SELECT *, (lx * 4 + i + {span}) % {span} AS tx, (ly * 4 + j + {span}) % {span} AS ty FROM g0), fine AS (SELECT level, cx // 2 AS hx, cy // 2 AS hy, avg(q) AS q FROM m GROUP BY 1, 2, 3)"
+    on_mixed("h_ghost_cells", lambda lv, c: placed_leaves(H.filled(c, lv, CFG, 1, ["q"]).filter("is_ghost"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("q").alias("q")), f"{ghosts} SELECT g.level, lx, ly, i, j, {S6('coalesce(a.q, b.q, c.q)')} AS q FROM g LEFT JOIN m a ON a.level = g.level AND a.cx = tx AND a.cy = ty LEFT JOIN m b ON b.level = g.level - 1 AND b.cx = tx // 2 AND b.cy = ty // 2 LEFT JOIN fine c ON c.level = g.level + 1 AND c.hx = tx AND c.hy = ty")
+    walled = lambda lv, c: H.filled(c, lv, CLOSED, 2, ["q"], {0: "wall"}, {0: "q"}).filter("is_ghost")
+    inside = "lx * 4 + i BETWEEN 0 AND 63 AND ly * 4 + j BETWEEN 0 AND 63"
+    source = f"leaves AS (SELECT DISTINCT 4 AS level, gx // 4 AS lx, gy // 4 AS ly FROM l), {halo(2)}, g AS (SELECT *, CASE WHEN {inside} THEN lx * 4 + i WHEN lx * 4 + i < 0 THEN -1 - i ELSE lx * 4 + least(greatest(i, 0), 3) END AS tx, CASE WHEN {inside} THEN ly * 4 + j ELSE ly * 4 + least(greatest(j, 0), 3) END AS ty FROM g0)"
+    on_base("h_bc_wall", lambda c: placed_leaves(walled(c.select("key").distinct(), c.select("key", "i", "j", "q")), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("q").alias("q")), f", {source} SELECT g.level, g.lx, g.ly, i, j, {S6('CASE WHEN g.lx * 4 + i < 0 THEN -q ELSE q END')} AS q FROM g JOIN l ON gx = tx AND gy = ty")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from . import formulas, meshes
+from . import faces, formulas, meshes
 from .registry import Registry
 
 
@@ -13,6 +13,7 @@ def registry() -> Registry:
     reg = Registry()
     formulas.add_all(reg)
     meshes.add_all(reg)
+    faces.add_all(reg)
     return reg
 
 

@@ -56,16 +56,34 @@ class Settings:
         return spark.createDataFrame([(s, n, v) for (s, n), v in sorted(self.values.items())], "section string, name string, value string")
 
 
+BORDERS = ("none", "periodic", "zero_gradient", "wall", "analytical", "custom")
+
+
+def borders(settings: Settings, dim: int) -> dict[int, str]:
+    """The border type of each face from boundary_type_xmin and so on: periodic where none is named, none where the name is unknown."""
+    out = {}
+    for d in range(dim):
+        for side, end in enumerate(("min", "max")):
+            named = settings.text("mesh", f"boundary_type_{'xyz'[d]}{end}", "periodic").strip().lower()
+            out[2 * d + side] = named if named in BORDERS else "none"
+    return out
+
+
+def gravity(settings: Settings, dim: int) -> tuple[float, ...]:
+    """The uniform gravity vector."""
+    return tuple(settings.number("gravity", f"uniform_g{a}", 0.0) for a in "xyz"[:dim])
+
+
 def mesh_config(settings: Settings):
     """The mesh section as a Config; boundary types other than periodic make an axis not periodic."""
     from ..operators.mesh import Config
 
     dim = settings.integer("mesh", "dim", 2)
-    axes = "xyz"[:dim]
+    axes, types = "xyz"[:dim], borders(settings, dim)
     return Config(
         dim=dim,
         brick=tuple(settings.integer("mesh", f"nbrick_{a}", 1) for a in axes),
-        periodic=tuple(settings.flag("mesh", f"periodic_{a}", True) for a in axes),
+        periodic=tuple(settings.flag("mesh", f"periodic_{a}", True) and types[2 * d] == types[2 * d + 1] == "periodic" for d, a in enumerate(axes)),
         block=tuple(settings.integer("mesh", f"b{a}", 4) for a in axes),
         low=tuple(settings.number("mesh", f"{a}min", 0.0) for a in axes),
         scale=settings.number("mesh", "scaling_factor", 1.0),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.geometry import cell_length
 from .mesh import Config
-from .neighbors import fetched, located, shifted
+from .neighbors import fetched, located
 
 EPSILON = 1e-12
 
@@ -194,21 +195,26 @@ def curvature(normals: DataFrame, leaves: DataFrame, cfg: Config) -> DataFrame:
 
 def filtered_curvature(curved: DataFrame, leaves: DataFrame, cfg: Config, phi: str = "phi", threshold: float = 1e-6, rounds: int = 1) -> DataFrame:
     """Weighted means over 3^dim cells with weights phi^2 (1 - phi)^2, where the weight is above the threshold; curved: key, axes, phi, curvature."""
-    from itertools import product
-
     now = curved.withColumn("w", F.pow(F.col(phi), 2) * F.pow(1 - F.col(phi), 2))
     for _ in range(rounds):
         base = now.withColumn("wk", F.col("w") * F.col("curvature")).select("key", *cfg.axes, phi, "curvature", "w", "wk")
-        out, top, low = base, F.col("wk"), F.col("w")
-        for k, step in enumerate(s for s in product((-1, 0, 1), repeat=cfg.dim) if any(s)):
-            near = shifted(base.select("key", *cfg.axes, "w", "wk"), leaves, cfg, step, ["w", "wk"], f"_{k}")
-            out = out.join(near.select("key", *cfg.axes, f"w_{k}", f"wk_{k}"), ["key", *cfg.axes])
-            top, low = top + F.col(f"wk_{k}"), low + F.col(f"w_{k}")
+        steps = [s for s in product((-1, 0, 1), repeat=cfg.dim) if any(s)]
+        out = with_steps(base, leaves, cfg, ["w", "wk"], steps)
+        top = _total([F.col("wk"), *[F.col(f"wk_s{n}") for n in range(len(steps))]])
+        low = _total([F.col("w"), *[F.col(f"w_s{n}") for n in range(len(steps))]])
         value = F.when(F.col("w") > threshold, top / low).otherwise(F.col("curvature"))
         now = out.select("key", *cfg.axes, phi, value.alias("curvature"), "w")
     return now.drop("w")
 
 
+def smooth_interface_curvature(cells: DataFrame, leaves: DataFrame, cfg: Config, phi: str = "phi", alpha: float = 0.1, points: int = 7, threshold: float = 1e-6, rounds: int = 3) -> DataFrame:
+    """Curvature from volume fractions: smooth interface function, its unit gradient, minus the divergence of that, filtered ``rounds`` times."""
+    smooth = cells.select("key", *cfg.axes, smooth_interface(F.col(phi), alpha).alias("_s"))
+    normal = normalized_gradient(smooth, cfg, "_s", points)
+    bent = scaled_divergence(normal, cfg, [f"n{a}" for a in "xyz"[: cfg.dim]], -1.0, points).withColumnRenamed("divergence", "curvature")
+    return filtered_curvature(cells.select("key", *cfg.axes, phi).join(bent, ["key", *cfg.axes]), leaves, cfg, phi, threshold, rounds)
+
+
 def face_divergence(faces: DataFrame, cfg: Config) -> DataFrame:
     """Of a face field (key, dir, axes, v): the differences of a cell's upper and lower faces over dx, in one aggregation."""
     both = []

@@ -26,6 +26,11 @@ class Config:
     level_min: int = 0
     level_max: int = 8
 
+    @property
+    def high(self) -> tuple[float, ...]:
+        """The corner opposite to ``low``."""
+        return tuple(a + n * self.scale for a, n in zip(self.low, self.brick, strict=True))
+
     @property
     def axes(self) -> tuple[str, ...]:
         return ("i", "j", "k")[: self.dim]
@@ -63,10 +68,15 @@ def refine(flagged: DataFrame, cfg: Config) -> DataFrame:
     return flagged.select(F.explode(rows).alias("r")).select("r.key", "r.flag")
 
 
-def coarsen(flagged: DataFrame, cfg: Config) -> DataFrame:
-    """(key, flag) with complete families that all ask for it replaced by their fathers: one aggregation, no second join."""
+def coarsen(flagged: DataFrame, cfg: Config, delay: int = 0) -> DataFrame:
+    """(key, flag) with complete families that all ask for it replaced by their fathers: one aggregation, no second join.
+
+    With a ``delay``, leaves whose column ``age`` (cycles since they were made; negative: never adapted) is 0 up to it keep their families as they are.
+    """
     key = F.col("key")
     wants = (F.col("flag") == -1) & (K.level(key, cfg.dim) > cfg.level_min)
+    if delay:
+        wants = wants & ~F.col("age").between(0, delay)
     rows = flagged.withColumn("wants", wants)
     alone = rows.filter("not wants").select("key", "flag")
     families = rows.filter("wants").groupBy(K.father(key, cfg.dim).alias("father")).agg(F.collect_list("key").alias("members"))

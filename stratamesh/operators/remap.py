@@ -111,6 +111,13 @@ def material_remapped(new: DataFrame, cells: DataFrame, old: DataFrame, cfg: Con
     return found.select("key", *cfg.axes, "mat", name)
 
 
+def leaf_remapped(new: DataFrame, values: DataFrame, cfg: Config, names: list[str]) -> DataFrame:
+    """Values by leaf (one cell a block) on new leaves: a leaf's own, its father's, or the mean of its children's."""
+    build = _build(values.select("key"), cfg).join(values.select(F.col("key").alias("leaf"), *names), "leaf")
+    found = new.select("key").join(build, F.col("key") == F.col("at"))
+    return found.groupBy("key").agg(*[F.avg(n).alias(n) for n in names])
+
+
 def presence_remapped(new: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame:
     """(key, mask): a leaf's own materials, its father's, or the union of its children's."""
     build = _build(presence.select("key"), cfg).join(presence.select(F.col("key").alias("leaf"), "mask"), "leaf")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
+from ..functions import geometry as G
 from ..functions import keys as K
-from ..functions.algebra import integer, long, where
+from ..functions import materials as W
+from ..functions import topology as T
+from ..functions.algebra import integer, long, rounded, where
 from ..operators import aggregates as A
 from ..operators import faces as C
 from ..operators import fields as D
@@ -143,3 +146,41 @@ LEFT JOIN leaves a ON a.level = n1.level - 1 AND a.lx = tx // 2 AND a.ly = n1.ly
     corners = {f"c{i}": f"CAST((l_partkey * {i} + l_suppkey) % 3 * (l_linenumber % 2) AS INTEGER)" for i in range(8)}
     reg.formula("g_regions", "lineitem", corners, LINE, lambda P: {"pure2": B.fully_inside([P.col(f"c{i}") for i in range(4)]), "pure3": B.fully_inside([P.col(f"c{i}") for i in range(8)]), "some1": B.overlaps([P.col(f"c{i}") for i in range(4)], 1)})
     reg.formula("a_arg_min", "lineitem", {k: STATES[k] for k in ("u1", "v1", "w1")}, LINE, lambda P: {"of2": integer(B.arg_min(P, P.col("u1"), P.col("v1"))), "of3": integer(B.arg_min(P, P.col("u1"), P.col("v1"), P.col("w1")))})
+    for dim, inputs, sizes in ((2, KEY2, (4, 4)), (3, KEY3, (4, 4, 4))):
+
+        def composed(P, dim=dim, sizes=sizes):
+            key = _key(P, dim)
+            at = [long(P.col("tx")), long(P.col("ty")) + 1, long(P.col("lev")) % 4][:dim]
+            low = (-1.0, 0.5, 2.0)[:dim]
+            return {f"{kind}{'xyz'[a]}": rounded(c, 9) for kind, coords in (("f", G.face_centre(key, at, 1, sizes, dim)), ("e", G.edge_centre(key, at, 0, sizes, dim))) for a, c in enumerate(G.real_space(coords, low, 2.5))}
+
+        reg.formula(f"g_real_faces_{dim}d", "lineitem", inputs, LINE, composed)
+    topology = "e AS (SELECT CAST(range AS INTEGER) AS e FROM range(12)), c AS (SELECT CAST(range AS INTEGER) AS c FROM range(8))"
+    reg.add("g_topology", lambda spark, d: spark.createDataFrame(T.rows(), "kind string, dim int, number int, face int, other int"), f"WITH {topology} SELECT 'edge' AS kind, 3 AS dim, e AS number, CASE WHEN e < 4 OR e >= 8 THEN e % 2 ELSE 2 + e % 2 END AS face, CASE WHEN e < 4 THEN 2 + e // 2 % 2 ELSE 4 + e // 2 % 2 END AS other FROM e UNION ALL SELECT 'corner', 2, c, c % 2, 2 + c // 2 FROM c WHERE c < 4 UNION ALL SELECT 'corner', 3, c, c % 2, 2 + c // 2 % 2 FROM c UNION ALL SELECT 'corner', 3, c, c % 2, 4 + c // 4 FROM c UNION ALL SELECT 'corner', 3, c, 2 + c // 2 % 2, 4 + c // 4 FROM c")
+    words = {f"w{i}": f"CAST(l_orderkey * {2654435761 + 2 * i} % 4611686018427387904 AS BIGINT)" for i in range(2)} | {f"o{i}": f"CAST(l_partkey * {40503 + 2 * i} * 65537 % 4611686018427387904 AS BIGINT)" for i in range(2)}
+
+    def wide_sets(P):
+        a, b = [P.col("w0"), P.col("w1")], [P.col("o0"), P.col("o1")]
+        both, either, put, cut = W.wide_intersection(a, b), W.wide_union(a, b), W.wide_with(a, 96), W.wide_without(a, 3)
+        return {"both0": both[0], "both1": both[1], "either0": either[0], "either1": either[1], "put96": put[1], "cut3": cut[0], "n": long(W.wide_count(a)), "has96": W.wide_has(W.wide_with(a, 96), 96), "index96": long(W.wide_index_of(put, 96)), "index70": long(W.wide_index_of(a, 70))}
+
+    reg.formula("v_materials_wide", "lineitem", words, LINE, wide_sets)
+    aged = lambda c: c.groupBy("key").agg(F.sum("q").alias("q")).select("key", F.lit(-1).alias("flag"), (F.col("q") % 9 - 1).cast("int").alias("age"))
+    reg.add("m_coarsen_delay", lambda spark, d: placed_leaves(M.coarsen(aged(base(spark, d)), CFG, 2), "flag"), f"WITH {LATTICE}, b AS (SELECT gx // 4 AS lx, gy // 4 AS ly, CAST(sum(q) AS BIGINT) % 9 - 1 AS age FROM l GROUP BY 1, 2), k AS (SELECT lx // 2 AS fx, ly // 2 AS fy FROM b WHERE NOT age BETWEEN 0 AND 2 GROUP BY 1, 2 HAVING count(*) = 4) SELECT 3 AS level, fx AS lx, fy AS ly, 0 AS flag FROM k UNION ALL SELECT 4, lx, ly, -1 FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE fx = lx // 2 AND fy = ly // 2)")
+    on_mixed("r_leaf", lambda lv, c: placed_leaves(R.leaf_remapped(M.uniform(c.sparkSession, CFG, 4), c.groupBy("key").agg(F.sum("q").alias("q")), CFG, ["q"]), r6("q").alias("q")), f", lb AS (SELECT level, cx // 4 AS lx, cy // 4 AS ly, sum(q) AS q FROM m GROUP BY 1, 2, 3) SELECT 4 AS level, lx, ly, {S6('q')} AS q FROM lb WHERE level = 4 UNION ALL SELECT 4, lx // 2, ly // 2, {S6('avg(q)')} FROM lb WHERE level = 5 GROUP BY 2, 3")
+
+    # The curvature chain on one level: blocks of 8, 7 points, one round of the filter
+    def chain(spark, d):
+        cells = cells_of(lattice(spark, d), WIDE, 3).select("key", "i", "j", ((F.col("q") % 9 + 1) / 10.0).alias("phi"))
+        leaves = cells.select("key").distinct()
+        return placed(D.smooth_interface_curvature(cells, leaves, WIDE, rounds=1), (F.round(F.col("curvature") * 1e3) / 1e3).alias("curvature"), block=8)
+
+    def along_both(name: str, x: str, y: str, source: str) -> str:
+        """Derivatives of two columns of a table (cx, cy) within blocks of 8: <name>x along x, <name>y along y."""
+        return f"{name}hx AS (SELECT cx // 8 AS b, cy AS o, list({x} ORDER BY cx) AS a FROM {source} GROUP BY 1, 2), {name}hy AS (SELECT cy // 8 AS b, cx AS o, list({y} ORDER BY cy) AS a FROM {source} GROUP BY 1, 2), {name}x AS (SELECT b * 8 + p.range AS cx, o AS cy, {line(7, 'a')} AS d FROM {name}hx, range(8) p), {name}y AS (SELECT o AS cx, b * 8 + p.range AS cy, {line(7, 'a')} AS d FROM {name}hy, range(8) p)"
+
+    start = f"ph AS (SELECT gx AS cx, gy AS cy, (q % 9 + 1) / 10.0 AS phi FROM l), sm AS (SELECT cx, cy, pow(phi, 0.1) / (pow(phi, 0.1) + pow(1 - phi, 0.1)) AS s FROM ph)"
+    unit = "un AS (SELECT cx, cy, sx.d / CASE WHEN sqrt(sx.d * sx.d + sy.d * sy.d) < 1e-13 THEN 1 ELSE sqrt(sx.d * sx.d + sy.d * sy.d) END AS nx, sy.d / CASE WHEN sqrt(sx.d * sx.d + sy.d * sy.d) < 1e-13 THEN 1 ELSE sqrt(sx.d * sx.d + sy.d * sy.d) END AS ny FROM sx JOIN sy USING (cx, cy))"
+    bent = "k AS (SELECT cx, cy, -(nx.d + ny.d) AS c, pow(phi, 2) * pow(1 - phi, 2) AS w FROM nx JOIN ny USING (cx, cy) JOIN ph USING (cx, cy))"
+    ring = "o AS (SELECT a.range - 1 AS dx, b.range - 1 AS dy FROM range(3) a, range(3) b), f1 AS (SELECT k.cx, k.cy, any_value(k.c) AS own, any_value(k.w) AS w, sum(z.w * z.c) / sum(z.w) AS mean FROM k, o JOIN k z ON z.cx = (k.cx + dx + 64) % 64 AND z.cy = (k.cy + dy + 64) % 64 GROUP BY 1, 2)"
+    reg.add("d_interface_chain", chain, f"WITH {LATTICE}, {start}, {along_both('s', 's', 's', 'sm')}, {unit}, {along_both('n', 'nx', 'ny', 'un')}, {bent}, {ring} SELECT 3 AS level, cx, cy, round(CASE WHEN w > 1e-6 THEN mean ELSE own END * 1e3) / 1e3 AS curvature FROM f1")

@@ -50,7 +50,7 @@ def add_all(reg: Registry) -> None:
     def on_mixed(name, build, sql):
         reg.add(name, lambda spark, d: build(*mixed(spark, d)), f"WITH {MIXED}{sql}")
 
-    ints = [F.col(c).cast("int").alias(c) for c in ("i", "j")]
+    ints = lambda: [F.col(c).cast("int").alias(c) for c in ("i", "j")]
     # what lies left of a leaf, at its own level
     left = f"n0 AS (SELECT *, (lx - 1 + {SPAN}) % {SPAN} AS tx FROM leaves)"
     right = f"n1 AS (SELECT *, (lx + 1) % {SPAN} AS tx FROM leaves)"
@@ -64,7 +64,7 @@ CASE WHEN i > 0 OR s.level IS NOT NULL THEN f.ly WHEN c.level IS NOT NULL THEN f
 CAST(CASE WHEN i > 0 THEN i - 1 WHEN s.level IS NOT NULL THEN 3 WHEN c.level IS NOT NULL THEN (3 + 5 * (tx % 2)) // 2 ELSE 2 END AS INTEGER) AS ti,
 CAST(CASE WHEN i > 0 OR s.level IS NOT NULL THEN j WHEN c.level IS NOT NULL THEN (j + 4 * (f.ly % 2)) // 2 ELSE 2 * j % 4 END AS INTEGER) AS tj
 FROM fc f LEFT JOIN leaves s ON s.level = f.level AND s.lx = tx AND s.ly = f.ly LEFT JOIN leaves c ON c.level = f.level - 1 AND c.lx = tx // 2 AND c.ly = f.ly // 2"""
-    on_mixed("j_face_neighbor", lambda lv, c: placed_leaves(C.face_neighbors(C.face_cells(lv, CFG).filter("dir = 0"), lv, CFG, (-1, 0)), *ints, "status", *spot("at", "n"), "ti", "tj"), lookup)
+    on_mixed("j_face_neighbor", lambda lv, c: placed_leaves(C.face_neighbors(C.face_cells(lv, CFG).filter("dir = 0"), lv, CFG, (-1, 0)), *ints(), "status", *spot("at", "n"), "ti", "tj"), lookup)
 
     # Flux halo: the same three cases on both sides
     def ghost(side: str, table: str, i: int, same: int, coarse: int, fine: int, child: int) -> str:
@@ -74,7 +74,7 @@ FROM fc f LEFT JOIN leaves s ON s.level = f.level AND s.lx = tx AND s.ly = f.ly
 WHEN c.level IS NOT NULL THEN {value(f'tx // 2 * 4 + {coarse}', f'({side}.ly * 4 + j.range) // 2', f'{side}.level - 1')} ELSE ({pair.replace('(ly', f'({side}.ly').replace('+ j)', '+ j.range)').replace('level + 1', f'{side}.level + 1')}) / 2 END AS v
 FROM {table} {side} CROSS JOIN range(4) j LEFT JOIN leaves s ON s.level = {side}.level AND s.lx = tx AND s.ly = {side}.ly LEFT JOIN leaves c ON c.level = {side}.level - 1 AND c.lx = tx // 2 AND c.ly = {side}.ly // 2"""
 
-    on_mixed("h_flux_halo", lambda lv, c: placed_leaves(C.flux_halo(valued(lv), lv, CFG, 0), *ints, r6("v").alias("v")), f", {left}, {right}, h AS ({ghost('a', 'n0', -1, 3, 4, 2, 1)} UNION ALL {ghost('b', 'n1', 5, 1, 0, 2, 0)}) SELECT level, lx, ly, CAST(i AS INTEGER) AS i, j, {S6('v')} AS v FROM h")
+    on_mixed("h_flux_halo", lambda lv, c: placed_leaves(C.flux_halo(valued(lv), lv, CFG, 0), *ints(), r6("v").alias("v")), f", {left}, {right}, h AS ({ghost('a', 'n0', -1, 3, 4, 2, 1)} UNION ALL {ghost('b', 'n1', 5, 1, 0, 2, 0)}) SELECT level, lx, ly, CAST(i AS INTEGER) AS i, j, {S6('v')} AS v FROM h")
 
     # Faces to cells
     sides = {"l0": value("cx", "cy"), "r0": value("cx + 1", "cy"), "l1": value("cx", "cy", dir=1), "r1": value("cx", "cy + 1", dir=1)}
@@ -82,7 +82,7 @@ FROM {table} {side} CROSS JOIN range(4) j LEFT JOIN leaves s ON s.level = {side}
     on_mixed("p_face_slice", lambda lv, c: C.face_slice(valued(lv), CFG, 1, 0, A.middle_line(CFG)).select(r6("position").alias("position"), "level", r6("v").alias("v")), f" SELECT {S6('(cx + 0.5) / (4 * pow(2, level))')} AS position, level, {S6(f'({sides['l1']} + {sides['r1']}) / 2')} AS v FROM m WHERE abs((cy + 0.5) / (4 * pow(2, level)) - 0.50001) < 0.5 / (4 * pow(2, level))")
     broken = f""" SELECT a.level, a.lx, a.ly, 0 AS dir, 4 AS i, CAST(j.range AS INTEGER) AS j, {value('a.lx * 4 + 4', 'a.ly * 4 + j.range', 'a.level')} AS v, {value('b.lx * 4', 'b.ly * 4 + j.range', 'b.level')} AS other FROM leaves a JOIN leaves b ON b.level = a.level AND b.ly = a.ly AND b.lx = (a.lx + 1) % CAST(pow(2, a.level) AS BIGINT), range(4) j
 UNION ALL SELECT a.level, a.lx, a.ly, 1, CAST(i.range AS INTEGER), 4, {value('a.lx * 4 + i.range', 'a.ly * 4 + 4', 'a.level', 1)}, {value('b.lx * 4 + i.range', 'b.ly * 4', 'b.level', 1)} FROM leaves a JOIN leaves b ON b.level = a.level AND b.lx = a.lx AND b.ly = (a.ly + 1) % CAST(pow(2, a.level) AS BIGINT), range(4) i"""
-    on_mixed("d_face_continuity", lambda lv, c: placed_leaves(C.discontinuous(valued(lv), lv, CFG), "dir", *ints, "v", "other"), f", x AS ({broken.strip()}) SELECT level, lx, ly, CAST(dir AS INTEGER) AS dir, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, v, other FROM x WHERE abs(v - other) > 1e-12")
+    on_mixed("d_face_continuity", lambda lv, c: placed_leaves(C.discontinuous(valued(lv), lv, CFG), "dir", *ints(), "v", "other"), f", x AS ({broken.strip()}) SELECT level, lx, ly, CAST(dir AS INTEGER) AS dir, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, v, other FROM x WHERE abs(v - other) > 1e-12")
 
     # Leaves around leaves
     across = f""", {right} SELECT n1.level, n1.lx, n1.ly, CAST(CASE WHEN s.level = n1.level THEN 0 WHEN s.level < n1.level THEN 1 ELSE 2 END AS INTEGER) AS status, s.level AS nlevel, s.lx AS nx, s.ly AS ny FROM n1 JOIN leaves s

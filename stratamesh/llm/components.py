@@ -30,7 +30,7 @@ BLOCK = 1_000
 #: Parity bits of an item, in words of 64.
 PARITY = 16
 #: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
-SHARE_KEYS = 300_000
+SHARE_KEYS = 1_000_000
 MAX_ROUNDS = 60
 
 

@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import Scratch, numbered, stored
 
 MIN_GROUP = 100
 #: Rate, margin below and above its fences (None: no fence on that side). Rates are per million, mean_word in thousandths of a character.
 FENCES = {"symbols": (None, 20_000), "dup_lines": (None, 400_000), "repeats": (None, 350_000), "upper": (None, 200_000), "mean_word": (1_500, 2_500)}
 #: Thresholds of so many language and source pairs at most go to every task (about 200 bytes each); beyond it they are joined by a shuffle with SALTS copies.
 SHARE_LIMIT, SALTS = 20_000, 16
+#: Row numbers (8 bytes each) up to which the rejected ones go to every task.
+REJECTED_LIMIT = 1_000_000
 SPACE = r"\x20\x09-\x0D"
 
 
@@ -157,9 +159,15 @@ def assess(documents: DataFrame, keep: list[str] | None = None, share_limit: int
     return assessed(documents, keep, share_limit).select("own.*", "_q")
 
 
-def filtered(documents: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns, whatever their names."""
-    return assessed(documents).filter("_q.kept").select("own.*")
+def filtered(documents: DataFrame, share_limit: int = SHARE_LIMIT, rejected_limit: int = REJECTED_LIMIT) -> DataFrame:
+    """The documents that the rules keep, with their own columns, whatever their names. Texts aren't stored: only the numbers of rejected rows are."""
+    rows = numbered(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole")))
+    with Scratch(documents.sparkSession) as scratch:
+        verdicts = assessed(rows.select("row", F.col("whole.text").alias("text"), F.col("whole.lang").alias("lang"), F.col("whole.source").alias("source")), ["row"], share_limit)
+        rejected = scratch.keep(stored(verdicts.filter("not _q.kept").select("own.row"), "rule-rejected"))
+        small = rejected.count() <= rejected_limit
+    kept = rows.join(F.broadcast(rejected) if small else rejected, "row", "left_anti")
+    return kept.select(*[F.col(f"whole.`{c}`").alias(c) for c in documents.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -305,3 +305,13 @@ def test_identifiers_with_edges_and_long_contexts(spark):
     for d, t in rows:
         assert [tuple(x) for x in got[d].base] == brute_identifiers(t), t
     assert rules.assess(spark.createDataFrame([(1, "a", None, None, "x")], "doc_id long, text string, lang string, source string, _w string")).count() == 1
+
+
+def test_filtered_documents_keep_their_columns_and_rows(spark):
+    good = " ".join(f"word{i * 37 % 211}" for i in range(90))
+    rows = [(1, good), (1, good), (1, "### " * 200), (None, good + " more"), (None, None), (2, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0, 3, "w", "o", "l", "k", 1) for d, t in rows], CLASH)
+    for limit in (1000, 0):
+        out = rules.filtered(df, share_limit=limit, rejected_limit=limit)
+        assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "None"]
+    assert rules.filtered(df.limit(0)).count() == 0

@@ -7,10 +7,16 @@ a query's plain SQL next to its DataFrame form.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Names of intermediate columns in an expression's text.
+_LETS = re.compile(r"\b_v[0-9]+\b")
+
+
 class Sql:
     """An SQL expression in the dialect of the oracle engine."""
 
@@ -203,22 +209,28 @@ def minmod(*xs):
 
 
 class SparkProgram:
-    """Collects intermediate columns on a DataFrame."""
+    """Collects intermediate columns over a DataFrame: those that don't need each other are added together, so the plan is as deep as the formula and not as long."""
 
     def __init__(self, df: DataFrame):
-        self.df, self.count = df, 0
+        self.df, self.depth, self.layers = df, {}, []
 
     def col(self, name: str) -> Column:
         return F.col(name)
 
     def let(self, value) -> Column:
-        self.count += 1
-        name = f"_v{self.count}"
-        self.df = self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
+        value = value if isinstance(value, Column) else F.lit(value)
+        name = f"_v{len(self.depth) + 1}"
+        self.depth[name] = depth = max((self.depth[n] + 1 for n in set(_LETS.findall(str(value)))), default=0)
+        if depth == len(self.layers):
+            self.layers.append([])
+        self.layers[depth].append(value.alias(name))
         return F.col(name)
 
     def select(self, **columns) -> DataFrame:
-        return self.df.select(*[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in columns.items()])
+        df = self.df
+        for layer in self.layers:
+            df = df.select("*", *layer)
+        return df.select(*[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in columns.items()])
 
 
 class SqlProgram:

@@ -324,13 +324,31 @@ def advanced(P, value, rate, dt: float, kind: str = "rk3_ssp"):
     return now
 
 
-def sweeps(kind: str, dim: int, iteration: int) -> list[int]:
-    """The axes to sweep in a step: none (all in order), or permuted from step to step."""
+# The orders of axes that a permuting schedule goes through, and the weights of the third-order splitting.
+PHASES = {1: ("x",), 2: ("xy", "yx"), 3: ("xyz", "zyx", "yzx", "xzy", "zxy", "yxz")}
+RUTH = ((7 / 24, 2 / 3), (3 / 4, -2 / 3), (-1 / 24, 1.0))
+
+
+def schedule(kind: str, dim: int) -> list[list[tuple[int, float]]]:
+    """Phases of a splitting by axes: each a list of (axis, share of the time step).
+
+    none: one phase, all axes in order. permutation: an order of axes each. ruth_order3: third order; in three dimensions the first two axes are
+    split within each outer step of the third.
+    """
     from itertools import permutations
 
     if kind == "none":
-        return list(range(dim))
+        return [[(d, 1.0) for d in range(dim)]]
     if kind == "permutation":
-        orders = sorted(permutations(range(dim)))
-        return list(orders[iteration % len(orders)])
+        return [[("xyz".index(a), 1.0) for a in phase] for phase in PHASES[dim]]
+    if kind == "ruth_order3":
+        if dim == 2:
+            return [[(axis, share) for pair in RUTH for axis, share in zip(order, pair, strict=True)] for order in permutations(range(2))]
+        return [[step for outer, last in RUTH for step in [*((axis, outer * share) for pair in RUTH for axis, share in zip(order[:2], pair, strict=True)), (order[2], last)]] for order in permutations(range(3))]
     raise ValueError(f"unknown schedule {kind!r}")
+
+
+def sweeps(kind: str, dim: int, iteration: int) -> list[int]:
+    """The axes to sweep in a step."""
+    phases = schedule(kind, dim)
+    return [axis for axis, _ in phases[iteration % len(phases)]]

@@ -7,6 +7,7 @@ from ..functions import eos as E
 from ..functions import flux as X
 from ..functions import geometry as G
 from ..functions import keys as K
+from ..functions import magnetic as B
 from ..functions import materials as M
 from ..functions import vof as V
 from ..functions.algebra import absolute, integer, long, rounded, where
@@ -177,9 +178,13 @@ def add_all(reg: Registry) -> None:
     mhd = STATES | FIELDS
     flux("f_mhd_speeds", lambda P: {f"fast_{a}": rounded(X.fast_speed(state(P, 1, True, True), d)) for d, a in enumerate("xyz")} | {"alfven": rounded(X.alfven_speed(state(P, 1, True, True))), "info": rounded(X.info_speed(state(P, 1, True, True)))}, mhd)
     flux("f_mhd_flux", lambda P: out(X.mhd_flux(state(P, 1, True, True))), mhd)
-    for kind, solver in (("llf", X.mhd_llf), ("hll", X.mhd_hll), ("hlld", X.mhd_hlld)):
-        flux(f"f_mhd_{kind}", lambda P, s=solver: out(s(P, state(P, 1, True, True), state(P, 2, True, True))), mhd)
+    for kind in B.MHD_SOLVERS:
+        flux(f"f_mhd_{kind}", lambda P, k=kind: out(B.solve_mhd(k, P, state(P, 1, True, True), state(P, 2, True, True))), mhd)
     flux("f_mhd_emf", lambda P: {"emf": rounded(X.edge_emf_llf(P, [state(P, 1, True, True), state(P, 2, True, True), state(P, 2, True, True) | {"u": P.col("u1")}, state(P, 1, True, True) | {"v": P.col("v2")}]))}, mhd)
+    around = lambda P: [state(P, 1, True, True), state(P, 2, True, True), state(P, 2, True, True) | {"u": P.col("u1")}, state(P, 1, True, True) | {"v": P.col("v2")}]
+    for axis, name in enumerate("xyz"):
+        flux(f"f_mhd_emf_hlld_{name}", lambda P, a=axis: {"emf": rounded(B.edge_emf_hlld(P, B.edge_states(around(P), a)))}, mhd)
+    flux("f_mhd_boris_speeds", lambda P: {"factor": rounded(B.boris_factor(state(P, 1, True, True)))} | {f"fast_{a}": rounded(B.boris_fast_speed(state(P, 1, True, True), d)) for d, a in enumerate("xyz")} | {"info": rounded(B.boris_info_speed(state(P, 1, True, True)))}, mhd)
     for kind in ("rk1", "rk2_ssp", "rk3_ssp"):
         flux(f"f_{kind}", lambda P, k=kind: {"value": rounded(X.advanced(P, P.col("r1"), lambda y: -y * 0.5, 0.1, k))})
 

@@ -70,12 +70,6 @@ def cell_corners(cells_: DataFrame, cfg: Config) -> DataFrame:
     return cells_.select("key", *cfg.axes, F.explode(F.array(*points)).alias("p")).select("key", *cfg.axes, "p.*")
 
 
-def to_vtk(cells_: DataFrame, cfg: Config, name: str) -> DataFrame:
-    """Lines of an ASCII piece for each partition: one column ``value`` to be written with ``write.text``; every cell is one voxel line of centre, size and value."""
-    corners = corner(F.col("key"), [F.col(a) for a in cfg.axes], cfg.block, 0, cfg.dim)
-    return cells_.select(F.concat_ws(" ", *[c.cast("string") for c in corners], K.level(F.col("key"), cfg.dim).cast("string"), F.col(name).cast("string")).alias("value"))
-
-
 def to_numpy(df: DataFrame, column: str, order: list[str], path: str, limit: int = 50_000_000) -> int:
     """One column as a .npy file on the driver, in order; more than ``limit`` values are refused, as they would not fit there."""
     import numpy as np

@@ -12,6 +12,8 @@ from ..functions import materials as M
 from ..functions import vof as V
 from ..functions.algebra import absolute, integer, long, rounded, where
 from ..sources import analytic as A
+from ..sources.config import Settings
+from ..sources.problems import initial
 from .registry import Registry
 
 LINE = ["l_orderkey", "l_linenumber"]
@@ -112,6 +114,8 @@ def add_all(reg: Registry) -> None:
     unit("s_analytic", lambda P: {"gauss2": rounded(A.gaussian(xy(P), (0.5, 0.5))), "gauss3": rounded(A.gaussian(xyz(P), (0.4, 0.8, 0.9))), "hat": A.hat(xy(P), (0.5, 0.5), 0.25), "parabola2": rounded(A.parabola(xy(P))), "parabola3": rounded(A.parabola(xyz(P))), "wave": rounded(A.sine_wave(xy(P))), "ramp": rounded(A.ramp(xy(P), 2)), "cosine": rounded(A.squared_cosine(xy(P))), "difference": rounded(A.difference(xy(P), 1))})
     unit("s_riemann_2d", lambda P: {n: rounded(v) for n, v in zip("ruvp", A.quadrants(xy(P), [(1.5, 0.0, 0.0, 1.5), (0.5323, 1.206, 0.0, 0.3), (0.138, 1.206, 1.206, 0.029), (0.5323, 0.0, 1.206, 0.3)]), strict=True)})
     unit("s_sod", lambda P: {n: rounded(v) for n, v in zip("rup", A.sod(P.col("x")), strict=True)})
+    for name, given, space in (("shu_osher", "[shu_osher]\nx0 = 0.25", 1), ("woodward", "", 1), ("blast", "[blast]\nradius = 0.3", 3), ("rotor", "", 2)):
+        unit(f"s_{name}", lambda P, n=name, g=given, d=space: {f"q_{k}": rounded(v) for k, v in initial(n, Settings(g), xyz(P)[:d]).items()})
     unit("p_fuzzy", lambda P: {"null": absolute(P.col("x") - 0.5) < 1e-12, "clamped": rounded(V.clamp(P.col("x") * 3.0 - 1.0)), "same": absolute(P.col("x") - P.col("y")) < 1e-12})
 
     # Equations of state

@@ -185,6 +185,28 @@ def test_ranking_of_held_out_documents(spark):
     assert sum(a > b for a in good for b in bad) >= 0.97 * len(good) * len(bad)
 
 
+def test_ranking_counts_all_rows_and_pairs(spark):
+    """The loss over all pairs of all 24,000 training rows is least at the weights, and no cut is more accurate."""
+    np = ranking.np
+    rows = spark.range(30_000).selectExpr("id doc_id", "concat(repeat('fine words here. ', cast(pmod(xxhash64(id, 1), 7) as int)), repeat('### X9 ', cast(pmod(xxhash64(id, 2), 9) as int)), cast(id as string)) text", "pmod(xxhash64(id), 40) = 0 or pmod(xxhash64(id, 2), 9) = 0 and pmod(xxhash64(id, 1), 7) > 4 good")
+    rows = [(r.doc_id, r.text, int(r.good)) for r in rows.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = ranking.train(df, df.select("doc_id", "quality"))
+    wide = ranking.train(df, df.select("doc_id", "quality"), share_limit=0)
+    mine = [(t, q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 5]
+    x, q = ranking.features(*ranking.tn.buffers(ranking.pa.array([t for t, _ in mine]))), np.array([q for _, q in mine])
+    assert len(mine) > 23_000 and np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, np.maximum(x.std(0), 1e-6))
+    z = ((x - x.mean(0)) / np.maximum(x.std(0), 1e-6)).clip(-8, 8)
+    s, good, bad = z @ model.weights, z[q == 1], z[q == 0]
+    p = 1 / (1 + np.exp(s[q == 1][:, None] - s[q == 0][None, :]))
+    slope = -(p.sum(1) @ good - p.sum(0) @ bad) / p.size + ranking.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-6 and np.abs(model.weights).max() > 0.1
+    cuts = np.unique(s.round(9))
+    best = max(((s >= c) == (q == 1)).mean() for c in [*(cuts - 1e-6)[:: max(1, len(cuts) // 500)], cuts[-1] + 1])
+    assert ((model.strength(x) >= model.cut) == (q == 1)).mean() >= best
+    assert np.allclose(wide.weights, model.weights, atol=1e-6) and abs(wide.cut - model.cut) < 1e-5
+
+
 def test_ranking_ignores_other_columns(spark):
     rows = [(i, ("fine words here. " * 20) if i % 2 else "### " * 30, i % 2) for i in range(60)]
     df = spark.createDataFrame([(i, t, q, None) for i, t, q in rows] + [(None, None, 1, "x")], "doc_id long, text string, quality int, score string")

@@ -5,8 +5,9 @@ every step's edges are written to the shared folder, so lineage stays short and
 
 ``verified_links`` finds the links between items that share a key, up to connectivity. No group is gathered and no group's pairs are all made:
 groups of up to ``SMALL`` items give their pairs, larger ones compare each item with ``LEADERS`` leaders; items that are not in the
-first leader's component then get other leaders, round by round while that helps, and those left over are compared with the members of their group that are in other
-components, in blocks, so that no pair of a group whose members ended in different components went unseen. Groups whose members are in one
+first leader's component then get other leaders, round by round while that helps and the rest is too large to compare at once. Those left over are compared with the members of their group that are in other
+components, in blocks: first with every ``THIN``-th member, which links those that have many links, so that these don't give all their pairs; then what is still apart with all members, so that
+no pair of a group whose members ended in different components went unseen. Groups whose members are in one
 component already are done, which is what keeps groups of thousands of near copies cheap. Labels of one round are where the next one begins.
 
 Before whole sets are moved, pairs have to pass two exact tests on a few numbers of each item: the sizes, and parity bits. A set's parity bits
@@ -27,6 +28,10 @@ from .storage import Scratch, delete, stored
 SMALL, LEADERS, ROUNDS = 6, 4, 6
 #: Members of a group that the left-over items are compared with in one block.
 BLOCK = 1_000
+#: Left-over items meet every so many-th member of their group before they meet all.
+THIN = 16
+#: Comparisons of sizes and parity bits up to which left-over items get no further leaders first.
+COMPARED = 30_000_000
 #: Parity bits of an item, in words of 64.
 PARITY = 16
 #: Keys of several items (16 bytes each) up to which they go to every task; beyond it members are shuffled to them.
@@ -157,30 +162,35 @@ def _linked(members, features, percent, attributes, condition, small, rounds, re
     labels, left = connected(edges), None
     for r in range(1, rounds):
         rest = stored(_unlinked(large, labels), "links-open")
-        now = rest.count()
+        now, meet = rest.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
         if now == 0:
             return stored(_star(labels), "links")
-        if left is not None and 10 * now > 9 * left:  # further leaders hardly help
+        if meet <= COMPARED or left is not None and 10 * now > 9 * left:  # or further leaders hardly help
             break
         left = now
         labels = connected(_star(labels).unionByName(checked(_to_leaders(rest, large, r))))
-    labelled = _labelled(large, labels)
-    top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
-    labelled = stored(labelled.join(top, "key"), "links-rest")
-    rest = labelled.filter("component <> head")
-    whole = labelled.join(rest.select("key").distinct(), "key", "left_semi")
-    # sizes of similar sets are in one band or neighbouring ones; a hot key's members are dealt out in blocks, each of which sees all that is left over
-    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.join(light, "item").withColumn("band", F.explode(F.sequence(band - 1, band + 1))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    whole = whole.join(light, "item").withColumn("band", band).withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
-    x = rest.select("key", "band", "block", *[F.col(c).alias(f"x_{c}") for c in ("item", "component", "head", *rest_of)])
-    y = whole.select("key", "band", "block", *[F.col(c).alias(f"y_{c}") for c in ("item", "component", *rest_of)])
-    once = (F.col("y_component") == F.col("x_head")) | (F.col("x_item") < F.col("y_item"))
-    # compared inside the join: only pairs that may be links leave it
-    pairs = x.join(y, ["key", "band", "block"]).filter((F.col("x_component") != F.col("y_component")) & once & may("x_", "y_"))
-    pairs = pairs.select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b")).distinct()
-    return stored(_star(labels).unionByName(verify(pairs)), "links")
+
+    def apart(labels: DataFrame, thin: int) -> DataFrame:
+        """The links of left-over items with every ``thin``-th member of their group that is in another component."""
+        labelled = _labelled(large, labels)
+        top = labelled.groupBy("key").agg(F.min_by("component", F.struct("weight", "item")).alias("head"))
+        labelled = stored(labelled.join(top, "key"), "links-rest")
+        rest = labelled.filter("component <> head")
+        whole = labelled.join(rest.select("key").distinct(), "key", "left_semi").filter(F.pmod(F.xxhash64("item", F.lit(thin)), F.lit(thin)) == 0)
+        # sizes of similar sets are in one band or neighbouring ones; a hot key's members are dealt out in blocks, each of which sees all that is left over
+        band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")
+        blocks = F.ceil(F.col("m") / (BLOCK * thin)).cast("int")
+        rest = rest.join(light, "item").withColumn("band", F.explode(F.sequence(band - 1, band + 1))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        whole = whole.join(light, "item").withColumn("band", band).withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int"))
+        x = rest.select("key", "band", "block", *[F.col(c).alias(f"x_{c}") for c in ("item", "component", "head", *rest_of)])
+        y = whole.select("key", "band", "block", *[F.col(c).alias(f"y_{c}") for c in ("item", "component", *rest_of)])
+        once = (F.col("y_component") == F.col("x_head")) | (F.col("x_item") < F.col("y_item")) | F.lit(thin > 1)
+        # compared inside the join: only pairs that may be links leave it
+        pairs = x.join(y, ["key", "band", "block"]).filter((F.col("x_component") != F.col("y_component")) & once & may("x_", "y_"))
+        return verify(pairs.select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b")).distinct())
+
+    labels = connected(_star(labels).unionByName(apart(labels, THIN)))
+    return stored(_star(labels).unionByName(apart(labels, 1)), "links")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:

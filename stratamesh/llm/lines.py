@@ -55,14 +55,19 @@ def signed(rows: DataFrame) -> DataFrame:
     every = F.transform(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
     df = _let(df, "_a", F.when(few, F.sort_array(F.array_distinct(every))).otherwise(F.expr("cast(array() as array<bigint>)")))
     df = _let(_let(df, "_r", F.expr(f"concat(_s, slice(_s, 1, {BAND - 1}))")), "_b", F.expr(f"concat(_a, slice(_a, 1, {BAND - 1}))"))
-    shift = 64 - REGION_BITS
+    # a region begins at the place of its mark among the hashes, less the marks before it; empty regions begin where the next one does
+    marks = [F.lit((i - (1 << (REGION_BITS - 1))) << (64 - REGION_BITS)).cast("long") for i in range(1 << REGION_BITS)]
+    for own, at in (("_s", "_sat"), ("_a", "_aat")):
+        df = _let(df, "_m", F.when(F.size(own) > 0, F.sort_array(F.concat(own, F.array(*marks)))))
+        places = F.array(*[F.array_position("_m", m).cast("int") - F.lit(i + 1) for i, m in enumerate(marks)])
+        df = _let(df, at, F.when(F.size(own) > 0, F.array_except(places, F.array(F.size(own)))).otherwise(F.expr("cast(array() as array<int>)"))).drop("_m")
 
     def bands(s: str, r: str) -> str:
         """s: sorted hashes; r: the same with the first ones again at its end."""
-        band = lambda n: f"filter(transform({s}, (x, i) -> case when i = 0 or shiftright(x, {shift}) <> shiftright({r}[i - 1], {shift}) then xxhash64({n}, x, {', '.join(f'coalesce(get({r}, i + {j}), x)' for j in range(1, n))}) end), x -> x is not null)"
+        band = lambda n: f"transform({s}at, i -> xxhash64({n}, {r}[i], {', '.join(f'coalesce(get({r}, i + {j}), {r}[i])' for j in range(1, n))}))"
         return f"case when size({s}) = 0 then cast(array() as array<bigint>) when size({s}) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
 
-    return df.withColumn("keys", F.expr(f"array_distinct(concat({bands('_s', '_r')}, {bands('_a', '_b')}))")).drop("folded", "hashes", "_s", "_a", "_r", "_b")
+    return df.withColumn("keys", F.expr(f"array_distinct(concat({bands('_s', '_r')}, {bands('_a', '_b')}))")).drop("folded", "hashes", "_s", "_a", "_r", "_b", "_sat", "_aat")
 
 
 def shingles(folded: str) -> Column:

@@ -10,7 +10,8 @@ from collections import defaultdict
 import pytest
 
 from stratamesh.llm import blocks, identifiers, lines, ngramjoin, paragraphs, queries, ranking, rules, warczip
-from stratamesh.llm.storage import fresh
+from stratamesh.llm.components import connected, verified_links
+from stratamesh.llm.storage import fresh, stored
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not glob.glob(f"{DATA}/*.parquet"), reason="the driver's tables are not here")
@@ -169,6 +170,19 @@ def test_lines_with_repeated_ids_and_clashing_names(spark):
     assert left == [x for x in kept if x[1] != ""]
 
 
+def test_left_over_members_do_not_give_all_their_pairs(spark):
+    """A chain of windows in one group, each similar to up to 100 others: one component, from far fewer verified pairs than are similar; each costs two sets."""
+    size, items = 450, 300
+    seen = spark.sparkContext.accumulator(0)
+    counted = ranking.F.udf(lambda i: seen.add(1) or i, "long")
+    hashes = lambda c: ranking.F.transform(ranking.F.sequence(counted(c), counted(c) + size - 1), lambda x: ranking.F.xxhash64(x))
+    members = stored(spark.range(items).selectExpr("1L key", "id item", "0L weight"), "test-members")
+    links = verified_links(members, lambda i: i.select("item", ranking.F.col("item").alias("tokens")), 80, rounds=1, sets=hashes)
+    labels = connected(links).collect()
+    assert sorted(r.id for r in labels) == list(range(items)) and {r.component for r in labels} == {0}
+    assert seen.value < 12_000
+
+
 # op7
 
 

@@ -79,13 +79,13 @@ def _star(labels: DataFrame) -> DataFrame:
 
 def similar(x: Column, y: Column, percent: int) -> Column:
     """Whether two arrays of distinct values have a Jaccard similarity of ``percent`` or more; exact."""
-    both = F.size(F.array_intersect(x, y))
-    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+    # the intersection is named once, as a filter works out what it names twice twice
+    return (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y))
 
 
 def sketched(sets: DataFrame) -> DataFrame:
-    """(item, n, p0, p1 ...) of (item, set): the size and the parity bits of each array of hashes; the lowest bits of a hash tell its bit."""
-    each = sets.select("item", F.explode("set").alias("x"))
+    """(item, n, p0, p1 ...) of (item, set): the size and the parity bits of each array of hashes, equal ones side by side; the lowest bits of a hash tell its bit."""
+    each = _distinct(sets, "set").select("item", "x")
     word, bit = F.expr(f"shiftright(x, 6) & {PARITY - 1}"), F.expr("shiftleft(1L, cast(x & 63 as int))")
     return each.groupBy("item").agg(F.count("*").cast("int").alias("n"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITY)])
 
@@ -95,6 +95,11 @@ def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _distinct(df: DataFrame, name: str) -> DataFrame:
+    """A row with x for each value of an array in which equal values are side by side."""
+    return df.select("*", F.posexplode(name).alias("_at", "x")).filter(F.expr(f"_at = 0 or x <> get({name}, _at - 1)"))
+
+
 def may_link(x: str, y: str, percent: int) -> Column:
     """Whether sizes (n) and parity bits (p0, p1 ...) of two rows leave room for a link; x and y: what their columns' names begin with."""
     near = f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
@@ -118,7 +123,8 @@ def verified_links(
     members: key, item (long), weight (long; the least leads its group), each (key, item) once. features: takes the items (item) that share a key
     with another and returns (item, tokens array<long>), once for each. ``condition`` takes the two beginnings of the names of ``attributes``' columns (item and others)
     and rules out pairs before they are verified. ``read`` is called when members won't be read any more.
-    With ``sets`` the features are (item, tokens) with tokens of any type that is smaller to move, and ``sets`` makes the array from a column's name.
+    With ``sets`` the features are (item, tokens) with tokens of any type that is smaller to move, and ``sets`` makes the array from a column's name;
+    a value may be repeated in it.
     """
     with Scratch(members.sparkSession) as scratch:
         return scratch.keep(_linked(members, features, percent, attributes, condition, small, rounds, read, sets))
@@ -130,7 +136,10 @@ def _linked(members, features, percent, attributes, condition, small, rounds, re
     if read is not None:
         read()
     tokens = stored(features(stored(inside.select("item").distinct(), "group-items")).select("item", "tokens"), "group-tokens")
-    light = sketched(tokens.select("item", (sets("tokens") if sets else F.col("tokens")).alias("set")))
+    light = tokens.withColumnRenamed("tokens", "set")
+    if sets:  # sorted apart from the sets' own functions: sorting is compiled then
+        light = _let(_let(tokens, "raw", sets("tokens")).select("item", "raw"), "set", F.sort_array("raw")).select("item", "set")
+    light = sketched(light)
     light = stored(light if attributes is None else light.join(attributes, "item"), "group-light")
     rest_of = [c for c in light.columns if c != "item"]
 
@@ -141,16 +150,19 @@ def _linked(members, features, percent, attributes, condition, small, rounds, re
         return may_link(x, y, percent) & condition(x, y) if condition else may_link(x, y, percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs that passed ``may``."""
+        """The links among distinct pairs (a, b, both sizes together: n) that passed ``may``."""
         x, y = (tokens.select(F.col("item").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "s"), ("b", "t")))
         both = pairs.join(x, "a").join(y, "b")
         if sets:  # little to move, much to do for each pair: to as many tasks as there are
             both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-            both = _let(_let(both, "x", sets("s")), "y", sets("t")).drop("s", "t").withColumnsRenamed({"x": "s", "y": "t"})
+            both = _let(_let(both, "x", sets("s")), "y", sets("t")).select("a", "b", "n", "x", "y")
+            both = _let(both, "all", F.sort_array(F.concat("x", "y"))).select("a", "b", "n", "all")
+            union = _distinct(both, "all").groupBy("a", "b", "n").agg(F.count("*").alias("union"))
+            return union.filter(F.expr(f"100 * n >= {100 + percent} * union")).select("a", "b")
         return both.filter(similar(F.col("s"), F.col("t"), percent)).select("a", "b")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return verify(with_light(with_light(pairs.distinct(), "a", "x_"), "b", "y_").filter(may("x_", "y_")).select("a", "b"))
+        return verify(with_light(with_light(pairs.distinct(), "a", "x_"), "b", "y_").filter(may("x_", "y_")).select("a", "b", (F.col("x_n") + F.col("y_n")).alias("n")))
 
     few = inside.filter(F.col("m") <= small)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")))
@@ -187,7 +199,7 @@ def _linked(members, features, percent, attributes, condition, small, rounds, re
         once = (F.col("y_component") == F.col("x_head")) | (F.col("x_item") < F.col("y_item")) | F.lit(thin > 1)
         # compared inside the join: only pairs that may be links leave it
         pairs = x.join(y, ["key", "band", "block"]).filter((F.col("x_component") != F.col("y_component")) & once & may("x_", "y_"))
-        return verify(pairs.select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b")).distinct())
+        return verify(pairs.select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b"), (F.col("x_n") + F.col("y_n")).alias("n")).distinct())
 
     labels = connected(_star(labels).unionByName(apart(labels, THIN)))
     return stored(_star(labels).unionByName(apart(labels, 1)), "links")

@@ -1,10 +1,10 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are folded (trimmed, lower case); lines of equal folded text are one class, known by a 64-bit hash. A class's signature
-comes from one hash of its 12-character shingles that begin a word: the hash space is a circle with 16
-marks, and the three hashes that follow a mark make a band. Lines with few such shingles, at all or for their length (scripts without spaces, URLs, paths, rows of tables,
+comes from one hash of each of its anchors, the beginnings of a word (between spaces) and of the next one, 11 characters at most: the hash space is a circle with 16
+marks, and the three hashes that follow a mark make a band. Lines with few anchors, at all or for their length (scripts without spaces, URLs, paths, rows of tables,
 long compounds), get bands of all their 5-character shingles besides, as an edit would change most of the few. Two lines whose
-shingle sets have similarity J share a mark's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already; lines of few shingles get bands of two hashes besides.
+anchor sets have similarity J share a mark's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already; lines of few hashes get bands of two hashes besides.
 Colliding classes are verified by exact Jaccard similarity of the 64-bit hashes of all their 5-character shingles and linked at 0.8 or more; components come from
 distributed label steps, and of each component the first line (by doc_id, nulls last, then row, then line) stays.
 
@@ -20,26 +20,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected, join_hot, verified_links
+from .components import SHARE_KEYS, connected, join_hot, verified_links
 from .storage import Scratch, delete, numbered, stored
 
 PERCENT, SHINGLE = 80, 5
-#: 2**REGION_BITS marks, bands of BAND hashes; shingles of ANCHORED characters at word starts.
-REGION_BITS, BAND, ANCHORED = 4, 3, 12
-#: Lines of fewer anchored shingles, or of more characters to each, get bands of all shingles besides.
+#: 2**REGION_BITS marks, bands of BAND hashes; anchors of HERE characters of a word and NEXT of the one after it.
+REGION_BITS, BAND, HERE, NEXT = 4, 3, 8, 3
+#: Lines of fewer distinct anchors, or of more characters to each, get bands of all shingles besides.
 ANCHORS, SPREAD = 6, 12
 #: Lines of fewer shingles get shorter bands besides.
 FEW = 32
-#: Classes (8 bytes each) up to which the filter on lines goes to every task.
+#: Texts (with the classes to be read from them) up to which the filter on texts goes to every task.
 SHARE_LIMIT = 500_000
 SPACE = "\t\n\x0b\x0c\r "
 
 
+def _folded(line: str) -> Column:
+    return F.lower(F.trim(line, F.lit(SPACE)))
+
+
 def lines(rows: DataFrame) -> DataFrame:
     """row, doc_id, line_no (from 0), folded text and its hash of all lines that aren't blank; rows: row, doc_id, text."""
-    each = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    folded = each.select("row", "doc_id", "line_no", F.lower(F.trim("line", F.lit(SPACE))).alias("folded")).filter("folded <> ''")
-    return folded.withColumn("line", F.xxhash64("folded"))
+    each = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "raw"))
+    each = each.filter(F.trim("raw", F.lit(SPACE)) != "")
+    return _let(each, "folded", _folded("raw")).select("row", "doc_id", "line_no", "folded", F.xxhash64("folded").alias("line"))
 
 
 def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -47,33 +51,30 @@ def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """The rows with ``keys`` (one for each region that has shingles, and more for lines of few) in place of ``folded``."""
-    anchor = rf"(?s)\s(?=([^\s].{{0,{ANCHORED - 1}}}))"
-    hashes = F.transform(F.regexp_extract_all(F.concat(F.lit(" "), "folded"), F.lit(anchor), F.lit(1)), lambda x: F.xxhash64(x))
-    df = _let(_let(rows, "hashes", hashes), "_s", F.expr("sort_array(array_distinct(hashes))"))
-    few = (F.size("hashes") < ANCHORS) | (F.length("folded") > SPREAD * F.size("hashes"))
-    every = F.transform(F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    df = _let(df, "_a", F.when(few, F.sort_array(F.array_distinct(every))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    df = _let(_let(df, "_r", F.expr(f"concat(_s, slice(_s, 1, {BAND - 1}))")), "_b", F.expr(f"concat(_a, slice(_a, 1, {BAND - 1}))"))
-    # a region begins at the place of its mark among the hashes, less the marks before it; empty regions begin where the next one does
-    marks = [F.lit((i - (1 << (REGION_BITS - 1))) << (64 - REGION_BITS)).cast("long") for i in range(1 << REGION_BITS)]
-    for own, at in (("_s", "_sat"), ("_a", "_aat")):
-        df = _let(df, "_m", F.when(F.size(own) > 0, F.sort_array(F.concat(own, F.array(*marks)))))
-        places = F.array(*[F.array_position("_m", m).cast("int") - F.lit(i + 1) for i, m in enumerate(marks)])
-        df = _let(df, at, F.when(F.size(own) > 0, F.array_except(places, F.array(F.size(own)))).otherwise(F.expr("cast(array() as array<int>)"))).drop("_m")
-
-    def bands(s: str, r: str) -> str:
-        """s: sorted hashes; r: the same with the first ones again at its end."""
-        band = lambda n: f"transform({s}at, i -> xxhash64({n}, {r}[i], {', '.join(f'coalesce(get({r}, i + {j}), {r}[i])' for j in range(1, n))}))"
-        return f"case when size({s}) = 0 then cast(array() as array<bigint>) when size({s}) < {FEW} then concat({band(BAND)}, {band(BAND - 1)}) else {band(BAND)} end"
-
-    return df.withColumn("keys", F.expr(f"array_distinct(concat({bands('_s', '_r')}, {bands('_a', '_b')}))")).drop("folded", "hashes", "_s", "_a", "_r", "_b", "_sat", "_aat")
+    """The rows with ``key`` (a row for each region that has anchors, and more for lines of few; the first has ``head``) in place of ``folded``."""
+    df = _let(rows, "_w", F.split("folded", " "))
+    anchors = F.transform("_w", lambda x, i: F.xxhash64(F.substring(x, 1, HERE), F.substring(F.get("_w", i + 1), 1, NEXT)))
+    # sorted apart from the functions over elements: sorting is compiled then
+    df = _let(_let(df, "_a", anchors).drop("_w"), "_s", F.sort_array(F.array_distinct("_a"))).drop("_a")
+    few = (F.size("_s") < ANCHORS) | (F.length("folded") > SPREAD * F.size("_s"))
+    df = _let(df, "_f", F.when(few, shingles("folded")).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("folded")
+    df = df.select("*", F.posexplode(F.when(F.size("_f") > 0, F.array("_s", F.sort_array(F.array_distinct("_f")))).otherwise(F.array("_s"))).alias("_k", "_h")).drop("_s", "_f")
+    df = df.select("*", F.posexplode("_h").alias("_i", "_x"))
+    # a region's band begins with its first hash, where the circle was cut or the top bits change
+    region = lambda x: f"shiftright({x}, {64 - REGION_BITS})"
+    df = df.filter(F.expr(f"_i = 0 or {region('_x')} <> {region('get(_h, _i - 1)')}"))
+    band = lambda n: f"xxhash64({n}, _x, {', '.join(f'get(_h, pmod(_i + {j}, size(_h)))' for j in range(1, n))})"
+    keys = F.expr(f"case when size(_h) < {FEW} then array({band(BAND)}, {band(BAND - 1)}) else array({band(BAND)}) end")
+    df = df.select("*", F.posexplode(keys).alias("_j", "key"))
+    return df.withColumn("head", F.expr("_k = 0 and _i = 0 and _j = 0")).drop("_k", "_h", "_i", "_x", "_j")
 
 
 def shingles(folded: str) -> Column:
-    """The hashes of a line's distinct shingles; a shorter line is one."""
-    grams = F.when(F.length(folded) < SHINGLE, F.array(folded)).otherwise(F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    return F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))
+    """The hashes of a line's shingles; a shorter line is one. Cut from code points of four bytes each, as places in UTF-8 have to be searched."""
+    starts = F.sequence(F.lit(1), F.greatest(4 * (F.length(folded) - SHINGLE), F.lit(0)) + 1, F.lit(4))
+    cut = lambda wide: F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * SHINGLE))))
+    # encoded outside the inner function, which runs for each shingle
+    return F.get(F.transform(F.array(F.encode(folded, "UTF-32")), cut), F.lit(0))
 
 
 def repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -87,20 +88,23 @@ def _repeated(documents: DataFrame, percent: int, scratch: Scratch) -> DataFrame
     spark = documents.sparkSession
     each = stored(signed(lines(rows)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
-    keys = stored(each.groupBy("line").agg(F.first("keys").alias("keys")), "line-keys")
-    found = stored(each.drop("keys"), "line-places")
-    delete(spark, each._stored_path)
+    found = stored(each.filter("head").drop("key", "head"), "line-places")
     classes = stored(found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-classes")
-    members = keys.select(F.explode("keys").alias("key"), F.col("line").alias("item"), F.lit(0).cast("long").alias("weight"))
+    # copies of a line have its keys too, and one line may have a key twice
+    shared = stored(each.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).filter("x <> y").select("key"), "line-keys")
+    members = each.join(F.broadcast(shared) if shared.count() <= SHARE_KEYS else shared, "key").select("key", F.col("line").alias("item")).distinct()
+    members = stored(members.withColumn("weight", F.lit(0).cast("long")), "line-members")
+    delete(spark, each._stored_path)
 
     def features(items: DataFrame) -> DataFrame:
-        few = items.select(F.col("item").alias("line"))
-        texts = lines(rows).select("line", "folded").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "line", "left_semi")
-        texts = texts.groupBy("line").agg(F.first("folded").alias("folded"))
-        return texts.select(F.col("line").alias("item"), F.col("folded").alias("tokens"))
+        few = classes.join(items.select(F.col("item").alias("line")), "line").select(F.col("first.row").alias("row"), F.struct("line", F.col("first.line_no").alias("at")).alias("one"))
+        few = stored(few.groupBy("row").agg(F.collect_list("one").alias("these")), "line-texts")
+        texts = rows.select("row", "text").join(F.broadcast(few) if few.count() <= SHARE_LIMIT else few, "row")
+        texts = _let(texts, "parts", F.split("text", "\n", -1)).select("parts", F.explode("these").alias("one"))
+        return texts.select(F.col("one.line").alias("item"), F.get("parts", F.col("one.at")).alias("raw")).select("item", _folded("raw").alias("tokens"))
 
     # texts are moved and not their shingles' hashes, which are eight times as large
-    labels = connected(verified_links(members, features, percent, sets=shingles, read=lambda: delete(spark, keys._stored_path)))
+    labels = connected(verified_links(members, features, percent, sets=shingles))
     named = classes.join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     groups = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     named = stored(named.join(groups, "component").select("line", "copies", "keep"), "line-named")

@@ -187,6 +187,14 @@ def test_left_over_members_do_not_give_all_their_pairs(spark):
 
 
 @needs_data
+def test_links_count_repeated_values_once(spark):
+    """Sets made from texts may repeat values: {1, 2, 3, 4} twice is one class at 90 percent, with {1, 2, 3, 5} beside it."""
+    members = stored(spark.createDataFrame([(1, i, 0) for i in (10, 11, 12)], "key long, item long, weight long"), "test-members")
+    tokens = spark.createDataFrame([(10, [1, 1, 2, 3, 4, 4]), (11, [4, 3, 2, 1]), (12, [1, 2, 3, 5])], "item long, tokens array<long>")
+    links = verified_links(members, lambda i: tokens, 90, sets=ranking.F.col)
+    assert [(r.a, r.b) for r in links.collect()] == [(10, 11)]
+
+
 def test_ranking_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.queries()["op7_ranking"](spark, sf).collect()}

@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are folded (trimmed, lower case); lines of equal folded text are one class, known by a 64-bit hash. A class's signature
-comes from one hash of each of its anchors, the beginnings of a word (between spaces) and of the next one, 11 characters at most: the hash space is a circle with 16
-marks, and the three hashes that follow a mark make a band. Lines with few anchors, at all or for their length (scripts without spaces, URLs, paths, rows of tables,
+comes from one hash of each of its anchors, the first 7 characters from the beginning of a word (between spaces) on, of it and of the next one: the hash space is a circle with 16
+marks, and the four hashes that follow a mark make a band. Lines with few anchors, at all or for their length (scripts without spaces, URLs, paths, rows of tables,
 long compounds), get bands of all their 5-character shingles besides, as an edit would change most of the few. Two lines whose
-anchor sets have similarity J share a mark's band with probability J^3, so one of 16 with 0.98 at J = 0.6 already; lines of few hashes get bands of two hashes besides.
+anchor sets have similarity J share a mark's band with probability J^4, so one of 16 with 0.995 at J = 0.73, to which single edits all over lines of similarity 0.8 lead; lines of few hashes get bands of three.
+Four short anchors are found again as often as three long ones, and several times as seldom by chance, so that groups, and what is moved to compare their members, grow little faster than the input.
 Colliding classes are verified by exact Jaccard similarity of the 64-bit hashes of all their 5-character shingles and linked at 0.8 or more; components come from
 distributed label steps, and of each component the first line (by doc_id, nulls last, then row, then line) stays.
 
@@ -24,12 +25,12 @@ from .components import SHARE_KEYS, connected, join_hot, verified_links
 from .storage import Scratch, delete, numbered, stored
 
 PERCENT, SHINGLE = 80, 5
-#: 2**REGION_BITS marks, bands of BAND hashes; anchors of HERE characters of a word and NEXT of the one after it.
-REGION_BITS, BAND, HERE, NEXT = 4, 3, 8, 3
+#: 2**REGION_BITS marks, bands of BAND hashes; anchors of HERE characters from the beginning of a word on, into the next one.
+REGION_BITS, BAND, HERE = 4, 4, 7
 #: Lines of fewer distinct anchors, or of more characters to each, get bands of all shingles besides.
 ANCHORS, SPREAD = 6, 12
-#: Lines of fewer shingles get shorter bands besides.
-FEW = 32
+#: Lines of fewer distinct hashes than the first get shorter bands, those of fewer than the second both.
+FEW = 24, 36
 #: Texts (with the classes to be read from them) up to which the filter on texts goes to every task.
 SHARE_LIMIT = 500_000
 SPACE = "\t\n\x0b\x0c\r "
@@ -53,7 +54,8 @@ def _let(df: DataFrame, name: str, value: Column) -> DataFrame:
 def signed(rows: DataFrame) -> DataFrame:
     """The rows with ``key`` (a row for each region that has anchors, and more for lines of few; the first has ``head``) in place of ``folded``."""
     df = _let(rows, "_w", F.split("folded", " "))
-    anchors = F.transform("_w", lambda x, i: F.xxhash64(F.substring(x, 1, HERE), F.substring(F.get("_w", i + 1), 1, NEXT)))
+    # a negative length gives nothing of the next word
+    anchors = F.transform("_w", lambda x, i: F.xxhash64(F.substring(x, 1, HERE), F.substring(F.get("_w", i + 1), F.lit(1), F.lit(HERE - 1) - F.length(x))))
     # sorted apart from the functions over elements: sorting is compiled then
     df = _let(_let(df, "_a", anchors).drop("_w"), "_s", F.sort_array(F.array_distinct("_a"))).drop("_a")
     few = (F.size("_s") < ANCHORS) | (F.length("folded") > SPREAD * F.size("_s"))
@@ -64,7 +66,8 @@ def signed(rows: DataFrame) -> DataFrame:
     region = lambda x: f"shiftright({x}, {64 - REGION_BITS})"
     df = df.filter(F.expr(f"_i = 0 or {region('_x')} <> {region('get(_h, _i - 1)')}"))
     band = lambda n: f"xxhash64({n}, _x, {', '.join(f'get(_h, pmod(_i + {j}, size(_h)))' for j in range(1, n))})"
-    keys = F.expr(f"case when size(_h) < {FEW} then array({band(BAND)}, {band(BAND - 1)}) else array({band(BAND)}) end")
+    # equal bands have equal shorter ones, so both are for lines that may meet lines of either
+    keys = F.expr(f"case when size(_h) < {FEW[0]} then array({band(BAND - 1)}) when size(_h) < {FEW[1]} then array({band(BAND)}, {band(BAND - 1)}) else array({band(BAND)}) end")
     df = df.select("*", F.posexplode(keys).alias("_j", "key"))
     return df.withColumn("head", F.expr("_k = 0 and _i = 0 and _j = 0")).drop("_k", "_h", "_i", "_x", "_j")
 

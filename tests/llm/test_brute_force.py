@@ -3,6 +3,7 @@
 import base64
 import glob
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -156,6 +157,31 @@ def test_lines_equal_brute_force(spark):
     assert sum(got.get(p) == e for p, e in expected.items()) >= 0.98 * len(expected)
 
 
+def test_lines_share_bands_by_likeness_only(spark):
+    """Lines of one small vocabulary hardly share bands (pairs by chance grow with the square of the lines), and edits all over a line that keep a similarity of 0.8 leave one."""
+    pick = random.Random(6)
+    parts = ["an", "the", "er", "ing", "on", "re", "ti", "en", "at", "ed", "ou", "ha", "is", "sh", "ly", "wh", "nd", "st", "or", "ble"]
+    line = lambda n: " ".join("".join(pick.choice(parts) for _ in range(pick.choice((1, 1, 2)))) for _ in range(n))
+    apart = [line(pick.randrange(10, 30)) for _ in range(2_000)]
+    near = []
+    while len(near) < 300:
+        x = line(pick.randrange(12, 80))
+        y = "".join("#" if i % 50 == 25 and i + 25 <= len(x) else c for i, c in enumerate(x))
+        if x != y and jaccard(*({t[i : i + 5] for i in range(len(t) - 4)} for t in (x, y))) >= 0.8:
+            near.append((x, y))
+
+    def together(texts):
+        rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+        keys = defaultdict(set)
+        for r in lines.signed(lines.lines(rows)).select("row", "key").collect():
+            keys[r.key].add(r.row)
+        return {(a, b) for g in keys.values() for a in g for b in g if a < b}
+
+    assert len(together(apart)) <= 300
+    found = together([t for pair in near for t in pair])
+    assert sum((2 * i, 2 * i + 1) in found for i in range(len(near))) >= 0.98 * len(near)
+
+
 def test_lines_with_repeated_ids_and_clashing_names(spark):
     long = "x" * 300_000 + " end"
     rows = [(1, "L is a line\nown one"), (5, "unique alpha line\nL is a line"), (5, "other head\nkeep this valuable second line here"), (None, "L is a line"), (None, "nothing else"), (7, "own one"), (7, "own one"), (8, None), (9, long), (10, long)]
